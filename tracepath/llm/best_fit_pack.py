@@ -32,12 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracepath.llm.common import cut, read_table
+from tracepath.llm.common import Memory, cut, portions, read_table
 
 SIZE = 4096
 END_ID = 1
-MOST_REMEMBERED = 300_000
-LONGEST_REMEMBERED = 64
 #: Blanks on which Python and the tokenizer may differ.
 ODD_BLANK = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -50,24 +48,25 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([ODD_BLANK, *special]))
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def stretch(self, s: str) -> bytes:
-        ids = self.encode(s)
-        if len(s) <= LONGEST_REMEMBERED:
-            if len(self.known) >= MOST_REMEMBERED:
-                self.known.clear()
-            self.known[s] = ids
-        return ids
+        self.memory = Memory(self._stretches)
+
+    def _stretches(self, stretches: list[str]) -> dict[str, bytes]:
+        out = {}
+        for i in range(0, len(stretches), 20_000):
+            some = stretches[i : i + 20_000]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
+            out |= {s: ids[a:b] for s, a, b in zip(some, cuts, cuts[1:])}
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        stretches = [None if self.whole.search(t) else t.split() for t in texts]
+        ids = self.memory(set().union(*(x for x in stretches if x)))
+        return [b"".join([ids[s] for s in x]) if x is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, x in zip(texts, stretches)]
 
     def __call__(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return self.encode(text)
-        known = self.known
-        return b"".join([known.get(s) or self.stretch(s) for s in text.split()])
+        return self.encode_all([text])[0]
 
 
 @cache
@@ -83,11 +82,12 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, task, seen = word_ids(path), TaskContext.get().partitionId(), Counter()
+        words, task, seen = word_ids(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(text.as_py() or "") + end
+            encoded = (ids for _, texts in portions(batch.column(1)) for ids in words.encode_all(texts))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
+                ids += end
                 for piece, i in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[i : i + 4 * size]
                     n = len(part) // 4

@@ -3,7 +3,7 @@
 A piece of text is a row of bytes. A segment tree over byte positions stores, for each node, the leftmost position
 of the least rank of a pair that starts there. A merge joins the pair at the root's position and updates three leaves
 at most: the merged token's own, its live left neighbour's and the swallowed one's; each update climbs to the root,
-so a piece of n bytes takes O(n log n) however long it is.
+so a piece of n bytes takes O(n log n) however long it is. Trees of short pieces are worked on side by side.
 
 Texts are cut by the published pattern. Stretches of blanks followed by other characters never share a match of it,
 so their tokens are remembered by stretch, in a table of bounded size. Decoding goes from ids to bytes.
@@ -17,95 +17,201 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tracepath.llm.common import read_table
+from tracepath.llm.common import Memory, portions, read_table
 
 #: Unicode's White_Space.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STRETCH = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 NO_RANK = 1 << 62
-MOST_REMEMBERED = 300_000
-LONGEST_REMEMBERED = 64
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece: the pair of least rank is merged first, the leftmost of equals."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    end = list(range(1, n + 1))  # of the token that starts here
-    before = list(range(-1, n - 1))  # start of the live token to the left
-    rank = [NO_RANK] * (2 * size)
-    for i in range(n - 1):
-        rank[size + i] = ranks.get(piece[i : i + 2], NO_RANK)
-    at = list(range(-size, size))
-    for x in range(size - 1, 0, -1):
-        y = 2 * x if rank[2 * x] <= rank[2 * x + 1] else 2 * x + 1
-        rank[x], at[x] = rank[y], at[y]
-
-    def put(i: int, r: int) -> None:
-        x = size + i
-        rank[x] = r
+SIDE_BY_SIDE = 64
+
+
+class Merges:
+    """Merges by segment tree, over one long piece or over many short ones side by side.
+
+    A tree's leaf at position i holds the rank of the pair that starts there, then i, as one number, so the least number
+    below a node is the least rank at its leftmost position.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bits = max(ranks.values(), default=0).bit_length()
+        pairs = sorted((ranks[t[:i]] << self.bits | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        self.codes = np.array([c for c, _ in pairs] + [NO_RANK], np.int64)
+        self.joined = np.array([r for _, r in pairs] + [NO_RANK], np.int64)
+        self.byte_ids = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+
+    def one(self, piece: bytes) -> list[int]:
+        """The ids of one piece: the pair of least rank is merged first, the leftmost of equals."""
+        ranks = self.ranks
+        if (whole := ranks.get(piece)) is not None:
+            return [whole]
+        n = len(piece)
+        size = 1 << (n - 1).bit_length()
+        shift = size.bit_length()
+        end = list(range(1, n + 1))  # of the token that starts here
+        before = list(range(-1, n - 1))  # start of the live token to the left
+        tree = [NO_RANK] * (2 * size)
+
+        def leaf(i: int, j: int) -> int:
+            r = ranks.get(piece[i:j])
+            return NO_RANK if r is None else r << shift | i
+
+        def put(i: int, value: int) -> None:
+            x = size + i
+            tree[x] = value
+            while x := x >> 1:
+                least = min(tree[2 * x], tree[2 * x + 1])
+                if tree[x] == least:
+                    return
+                tree[x] = least
+
+        tree[size : size + n - 1] = [leaf(i, i + 2) for i in range(n - 1)]
+        for x in range(size - 1, 0, -1):
+            tree[x] = min(tree[2 * x], tree[2 * x + 1])
+        while tree[1] < NO_RANK:
+            i = tree[1] & ((1 << shift) - 1)
+            j = end[i]  # the token that is swallowed
+            k = end[i] = end[j]
+            put(j, NO_RANK)
+            if k < n:
+                before[k] = i
+            put(i, leaf(i, end[k]) if k < n else NO_RANK)
+            if (p := before[i]) >= 0:
+                put(p, leaf(p, k))
+        ids, i = [], 0
+        while i < n:
+            ids.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return ids
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        code = left << self.bits | right
+        at = np.searchsorted(self.codes, code)
+        return np.where(self.codes[at] == code, self.joined[at], NO_RANK)
+
+    def many(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """The same for pieces of 2 to ``size`` bytes (a power of two) at once, as little-endian 32-bit ids. Every round
+        makes the next merge of each piece that has one."""
+        m, shift = len(pieces), size.bit_length()
+        n = np.fromiter(map(len, pieces), np.int64, m)
+        text = np.zeros((m, size), np.uint8)
+        text[np.arange(size) < n[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        places = np.arange(size)
+        ids = self.byte_ids[text]  # of the token that starts here
+        end = np.tile(places + 1, (m, 1))
+        before = np.tile(places - 1, (m, 1))
+        live = places < n[:, None]
+        tree = np.full((m, 2 * size), NO_RANK, np.int64)
+        pairs = places[:-1] < (n - 1)[:, None]
+        r, c = np.nonzero(pairs)
+        ranks = self._rank(ids[r, c], ids[r, c + 1])
+        tree[r, size + c] = np.where(ranks < NO_RANK, ranks << shift | c, NO_RANK)
+        x = size
         while x > 1:
-            x >>= 1
-            y = 2 * x if rank[2 * x] <= rank[2 * x + 1] else 2 * x + 1
-            rank[x], at[x] = rank[y], at[y]
-
-    while rank[1] < NO_RANK:
-        i = at[1]
-        j = end[i]  # the token that is swallowed
-        k = end[i] = end[j]
-        put(j, NO_RANK)
-        if k < n:
-            before[k] = i
-            put(i, ranks.get(piece[i : end[k]], NO_RANK))
-        else:
-            put(i, NO_RANK)
-        if (p := before[i]) >= 0:
-            put(p, ranks.get(piece[p:k], NO_RANK))
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return ids
+            tree[:, x // 2 : x] = np.minimum(tree[:, x : 2 * x : 2], tree[:, x + 1 : 2 * x : 2])
+            x //= 2
+        ids_, end_, before_, live_, tree_ = (a.reshape(-1) for a in (ids, end, before, live, tree))
+        rows = np.arange(m)
+
+        def put(rows: np.ndarray, i: np.ndarray, value: np.ndarray | int) -> None:
+            base, x = rows * (2 * size), size + i
+            tree_[base + x] = value
+            for _ in range(shift - 1):
+                x = x >> 1
+                y = base + 2 * x
+                tree_[base + x] = np.minimum(tree_[y], tree_[y + 1])
+
+        while True:
+            top = tree[rows, 1]
+            go = top < NO_RANK
+            rows, top = rows[go], top[go]
+            if not len(rows):
+                break
+            at, base = top & ((1 << shift) - 1), rows * size
+            i = base + at
+            swallowed = end_[i]
+            k = end_[i] = end_[base + swallowed]
+            ids_[i] = top >> shift
+            live_[base + swallowed] = False
+            put(rows, swallowed, NO_RANK)
+            right = k < n[rows]
+            after = base + np.minimum(k, size - 1)
+            before_[after[right]] = at[right]
+            value = np.full(len(rows), NO_RANK, np.int64)
+            value[right] = self._rank(ids_[i[right]], ids_[after[right]])
+            put(rows, at, np.where(value < NO_RANK, value << shift | at, NO_RANK))
+            p = before_[i]
+            left = p >= 0
+            p, some = p[left], rows[left]
+            value = self._rank(ids_[base[left] + p], ids_[i[left]])
+            put(some, p, np.where(value < NO_RANK, value << shift | p, NO_RANK))
+        flat = ids[live].astype("<u4").tobytes()
+        cuts = [0, *np.cumsum(4 * live.sum(axis=1)).tolist()]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens = dict((i, t) for t, i in self.ranks.items())
-        self.digits = {i: str(i) for i in self.tokens}
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.merges = Merges(ranks)
+        self.tokens = dict((i, t) for t, i in ranks.items())
+        self.whole = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         # \s as White_Space, as in the library that defines the result
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}").replace(r"\s", f"[{BLANK}]").replace(r"\S", f"[^{BLANK}]"))
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def stretch(self, s: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(merge(m.encode("utf-8", "surrogatepass"), self.ranks) for m in self.pattern.findall(s)))
-        if len(s) <= LONGEST_REMEMBERED:
-            if len(self.known) >= MOST_REMEMBERED:
-                self.known.clear()
-            self.known[s] = ids
-        return ids
+        self.memory = Memory(self._stretches)
+        most = max(self.tokens, default=0) + 1
+        digits = [f"{i} ".encode() for i in range(most)]
+        width = max(map(len, digits))
+        self.digits = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in digits), np.uint8).reshape(most, width)
+
+    def _pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct pieces; short ones are merged side by side."""
+        out, sized = {}, defaultdict(list)
+        for p in pieces:
+            if (w := self.whole.get(p)) is not None:
+                out[p] = w
+            elif len(p) <= SIDE_BY_SIDE:
+                sized[max(8, 1 << (len(p) - 1).bit_length())].append(p)
+            else:
+                out[p] = np.array(self.merges.one(p), "<u4").tobytes()
+        for size, some in sized.items():
+            for i in range(0, len(some), 4096):
+                out |= zip(some[i : i + 4096], self.merges.many(some[i : i + 4096], size))
+        return out
+
+    def _stretches(self, stretches: list[str]) -> dict[str, bytes]:
+        cuts = {s: [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(s)] for s in stretches}
+        ids = self._pieces({x for xs in cuts.values() for x in xs})
+        return {s: b"".join([ids[x] for x in xs]) for s, xs in cuts.items()}
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        stretches = [STRETCH.findall(t) for t in texts]
+        ids = self.memory(set().union(*stretches))
+        return [np.frombuffer(b"".join([ids[s] for s in x]), "<u4") for x in stretches]
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
-        for s in STRETCH.findall(text):
-            ids += known.get(s) or self.stretch(s)
-        return ids
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal digits, one space between them."""
+        d = self.digits[ids]
+        return d[d != 0].tobytes()[:-1]
+
 
 @cache
 def tokenizer(path: str, pattern: str) -> ByteBpe:
@@ -119,9 +225,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.encode(x.as_py() or "") for x in part.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for first, texts in portions(batch.column(1)):
+                ids = pa.array([x.astype(np.int32) for x in t.encode_all(texts)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids], ["doc_id", "ids"])
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -144,11 +250,11 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         t = tokenizer(path, pattern)
         for batch in batches:
             n, a, b = [], [], []
-            for x in batch.column(1):
-                ids = t.encode(x.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(t.digits.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(t.decode(ids)).hexdigest())
+            for _, texts in portions(batch.column(1)):
+                for ids in t.encode_all(texts):
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(t.decimal(ids)).hexdigest())
+                    b.append(hashlib.sha256(t.decode(ids.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +34,38 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def portions(texts: pa.Array, chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
+    """Texts (null: empty) in stretches of about so many characters, each with the place of its first."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+class Memory:
+    """Remembers what short strings are encoded to, in two generations of bounded size: when the younger one is full it
+    becomes the older one, and what is asked for again comes back from there."""
+
+    def __init__(self, encode: Callable[[list[str]], dict[str, bytes]], most: int = 400_000, longest: int = 64):
+        self.encode, self.most, self.longest = encode, most, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, strings: set[str]) -> dict[str, bytes]:
+        """The codes of all of them."""
+        young, old = self.young, self.old
+        found = {s: v for s in strings if (v := young.get(s)) is not None}
+        missing = strings.difference(found)
+        new = {s: v for s in missing if (v := old.get(s)) is not None}
+        new |= self.encode(sorted(missing.difference(new)))
+        if len(young) + len(new) > self.most:
+            self.young, self.old = {}, young
+        self.young |= {s: v for s, v in new.items() if len(s) <= self.longest}
+        return found | new
