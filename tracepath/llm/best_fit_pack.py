@@ -17,12 +17,12 @@ any other; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -36,8 +36,10 @@ from tracepath.llm.common import Memory, cut, portions, read_table
 
 SIZE = 4096
 END_ID = 1
-#: Blanks on which Python and the tokenizer may differ.
-ODD_BLANK = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Blanks for Python but not for the tokenizer.
+ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Letters whose lower case depends on others or has more characters.
+ODD_CASE = ("\u03a3", "\u0130")
 
 
 class WordIds:
@@ -46,24 +48,40 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([ODD_BLANK, *special]))
+        self.odd = (*ODD_BLANKS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.memory = Memory(self._stretches)
 
-    def _stretches(self, stretches: list[str]) -> dict[str, bytes]:
+    def _library(self, words: list[str]) -> dict[str, bytes]:
         out = {}
-        for i in range(0, len(stretches), 20_000):
-            some = stretches[i : i + 20_000]
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
             e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
             out |= {s: ids[a:b] for s, a, b in zip(some, cuts, cuts[1:])}
         return out
 
+    def _stretches(self, stretches: list[str]) -> dict[str, bytes]:
+        """A stop or comma after a letter is a token of its own, and the word before it the same as without it."""
+        stems = {s: s[:-1] if s[-1] in ".," and s[-2:-1].isalpha() else s for s in stretches}
+        young, old = self.memory.young, self.memory.old
+        ids = {w: v for w in set(stems.values()) if (v := young.get(w) or old.get(w)) is not None}
+        ids |= self._library(sorted({*stems.values(), ".", ","}.difference(ids)))
+        return {s: ids[w] if w is s else ids[w] + ids[s[-1]] for s, w in stems.items()}
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        stretches = [None if self.whole.search(t) else t.split() for t in texts]
-        ids = self.memory(set().union(*(x for x in stretches if x)))
-        return [b"".join([ids[s] for s in x]) if x is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, x in zip(texts, stretches)]
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.odd)}
+        ids = self.memory([[] if i in whole else self.cut(t) for i, t in enumerate(texts)])
+        for i in whole:
+            ids[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Stretches between blanks, lower-cased where that is what the tokenizer does to each character alone."""
+        if not any(x in text for x in ODD_CASE) and is_normalized("NFC", text):
+            text = text.lower()
+        return text.split()
 
     def __call__(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -197,9 +197,7 @@ class ByteBpe:
         return {s: b"".join([ids[x] for x in xs]) for s, xs in cuts.items()}
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        stretches = [STRETCH.findall(t) for t in texts]
-        ids = self.memory(set().union(*stretches))
-        return [np.frombuffer(b"".join([ids[s] for s in x]), "<u4") for x in stretches]
+        return [np.frombuffer(x, "<u4") for x in self.memory([STRETCH.findall(t) for t in texts])]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()

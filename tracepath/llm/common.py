@@ -58,14 +58,14 @@ class Memory:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, strings: set[str]) -> dict[str, bytes]:
-        """The codes of all of them."""
-        young, old = self.young, self.old
-        found = {s: v for s in strings if (v := young.get(s)) is not None}
-        missing = strings.difference(found)
-        new = {s: v for s in missing if (v := old.get(s)) is not None}
+    def __call__(self, rows: list[list[str]]) -> list[bytes]:
+        """The codes of each row, joined."""
+        get = self.young.get
+        codes = [list(map(get, row)) for row in rows]
+        missing = {s for row, c in zip(rows, codes) for s, v in zip(row, c) if v is None}
+        new = {s: v for s in missing if (v := self.old.get(s)) is not None}
         new |= self.encode(sorted(missing.difference(new)))
-        if len(young) + len(new) > self.most:
-            self.young, self.old = {}, young
+        if len(self.young) + len(new) > self.most:
+            self.young, self.old = {}, self.young
         self.young |= {s: v for s, v in new.items() if len(s) <= self.longest}
-        return found | new
+        return [b"".join([new[s] if v is None else v for s, v in zip(row, c)]) for row, c in zip(rows, codes)]
