@@ -67,7 +67,7 @@ def solve(activities: DataFrame, links: DataFrame) -> DataFrame:
         frame.insert(0, "trace_id", acts["trace_id"].iloc[0])
         return frame
 
-    return a.groupBy("trace_id").cogroup(links.select("trace_id", "from_id", "to_id").groupBy("trace_id")).applyInPandas(one, SOLVED)
+    return a.groupBy("trace_id").cogroup(links.select(F.col("trace_id").alias("trace_id"), "from_id", "to_id").groupBy("trace_id")).applyInPandas(one, SOLVED)
 
 
 def slack(solved: DataFrame, activities: DataFrame) -> DataFrame:
