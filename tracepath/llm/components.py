@@ -1,9 +1,10 @@
 """Connected components of an edge table, without bringing edges or labels to the driver.
 
-Each round every node points to the least of itself and its neighbours, pointers are followed once more, and
-the edges are contracted to the pointers' ends. Every component that still has an edge loses at least half of
-its nodes a round, so rounds grow with the logarithm of the longest component. The minima are pre-aggregated
-before the shuffle; the joins back are plain sort-merge joins, which adaptive execution may split at hubs.
+Each round every node points to the least of itself and its neighbours, pointers are doubled until they end at nodes
+that point to themselves, and the edges are contracted to those ends. Doubling takes the logarithm of the longest run of
+pointers, and only ends that are the least of their own neighbourhood outlive a round, so few rounds are needed. The
+minima are pre-aggregated before the shuffle; the joins back are plain sort-merge joins, which adaptive execution may
+split at hubs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,16 @@ from pyspark.sql import functions as F
 from tracepath.llm.common import cut
 
 
+def _follow(parent: DataFrame) -> DataFrame:
+    """u, p with p replaced by the end of its run of pointers; ends point to themselves."""
+    while True:
+        up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        further = cut(parent.join(up, "p").select("u", "p", "pp"))
+        parent = further.select("u", F.col("pp").alias("p"))
+        if further.where("p <> pp").isEmpty():
+            return parent
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node), for nodes that have an edge. Loops and repeated edges do no harm."""
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
@@ -21,8 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not e.isEmpty():
         both = e.union(e.select("v", "u"))
         parent = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        parent = cut(parent.join(up, "p").select("u", F.col("pp").alias("p")))
+        parent = _follow(cut(parent))
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
