@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracepath.functions import columns as C
-from tracepath.plans.session import cut
 
 TRACK = ("trace_id", "pid", "tid")
 
@@ -83,14 +82,29 @@ def serial_edges(swept: DataFrame) -> DataFrame:
     return swept.where("serial_from IS NOT NULL").select("trace_id", F.col("serial_from").alias("from_id"), F.col("activity_id").alias("to_id"), F.lit("serial").alias("kind"))
 
 
-def with_nested(roots: DataFrame, swept: DataFrame) -> DataFrame:
-    """trace_id, activity_id of the roots and of all that ran inside them, by the chain of open parents. Every round
-    goes one level down, so the rounds are as many as the nesting is deep."""
-    children = swept.where("open_parent IS NOT NULL").select("trace_id", F.col("open_parent").alias("up"), "activity_id")
-    children = cut(children)
-    found = level = cut(roots.select("trace_id", "activity_id").distinct())
-    while True:
-        level = cut(level.withColumnRenamed("activity_id", "up").join(children, ["trace_id", "up"]).select("trace_id", "activity_id").join(found, ["trace_id", "activity_id"], "left_anti"))
-        if level.isEmpty():
-            return found
-        found = found.union(level)
+def with_nested(activities: DataFrame, roots: DataFrame) -> DataFrame:
+    """trace_id, activity_id of the roots and of all that ran inside them, by the chain of open parents: one more pass
+    along the tracks, in which what is open says whether it is included."""
+    flagged = activities.select(*TRACK, "start", "end", "activity_id", "concurrent").join(roots.select("trace_id", "activity_id", F.lit(True).alias("root")).distinct(), ["trace_id", "activity_id"], "left")
+    rows = flagged.select(*TRACK, "start", "end", "activity_id", "concurrent", F.coalesce("root", F.lit(False)).alias("root"))
+    rows = rows.repartition(*TRACK).sortWithinPartitions(*TRACK, "start", F.desc("end"), "activity_id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track: tuple | None = None
+        open_: list[tuple[int, bool]] = []
+        for batch in batches:
+            traces, ids = [], []
+            for trace, pid, tid, start, end, activity, concurrent, included in zip(*(c.to_pylist() for c in batch.columns)):
+                if (trace, pid, tid) != track:
+                    track, open_ = (trace, pid, tid), []
+                if not concurrent:
+                    while open_ and open_[-1][0] <= start:
+                        open_.pop()
+                    included = included or (bool(open_) and open_[-1][1])
+                    open_.append((end, included))
+                if included:
+                    traces.append(trace)
+                    ids.append(activity)
+            yield pa.RecordBatch.from_arrays([pa.array(traces, pa.string()), pa.array(ids, pa.int64())], ["trace_id", "activity_id"])
+
+    return rows.mapInArrow(walk, "trace_id string, activity_id long")

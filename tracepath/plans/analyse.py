@@ -56,7 +56,7 @@ def analyse_recording(r: Recording, question: str = "finish", origin: str | None
     slack = cut(chain.slack(solved, a))
     steps = cut(chain.chain_steps(solved, a, r.edges))
     summary = cut(chain.path_summary(steps, chain.margin(solved, slack)))
-    observed = rules.Observation(a.join(open_, "trace_id", "left_semi"), r.coverage.join(open_, "trace_id", "left_semi"), steps, cut(tracks.with_nested(steps, r.swept)), cut(tracks.self_times(a, r.swept)), slack)
+    observed = rules.Observation(a.join(open_, "trace_id", "left_semi"), r.coverage.join(open_, "trace_id", "left_semi"), steps, cut(tracks.with_nested(a, steps)), cut(tracks.self_times(a, r.swept)), slack)
     found, silences = rules.ask(observed)
     ranked = rules.rank_findings(found)
     owned = rules.attribute(ranked, a, origin) if origin else ranked.withColumn("owner", F.lit("UnderTest"))

@@ -69,7 +69,7 @@ class Solved:
 
     def observation(self) -> rules.Observation:
         steps = cut(self.steps)
-        return rules.Observation(self.acts, coverage(self.acts, self.edges), steps, cut(tracks.with_nested(steps, self.swept)), cut(tracks.self_times(self.acts, self.swept)), self.slack)
+        return rules.Observation(self.acts, coverage(self.acts, self.edges), steps, cut(tracks.with_nested(self.acts, steps)), cut(tracks.self_times(self.acts, self.swept)), self.slack)
 
     def findings(self) -> DataFrame:
         return rules.ask(self.observation())[0]
