@@ -70,9 +70,8 @@ def unquoted(text: Column) -> Column:
 
 
 def map_name(url: Column) -> Column:
-    """The map file of a script: the last path segment without query or fragment, with .map after it."""
-    name = F.substring_index(F.regexp_replace(url, r"[?#].*$", ""), "/", -1)
-    return F.when(name != "", F.concat(name, F.lit(".map")))
+    """The map file of a script: what follows the last slash, up to a query or fragment, with .map after it."""
+    return F.concat(F.regexp_replace(F.substring_index(url, "/", -1), r"(?s)[?#].*$", ""), F.lit(".map"))
 
 
 def squeeze(text: Column) -> Column:
