@@ -91,6 +91,21 @@ def test_response(spark):
     assert {x["trace_id"] for x in a.refusals.collect()} == {"quiet"}
 
 
+def timed(ts, ident, kind, interaction, began, start, end, latency):
+    common = {"cat": "c", "name": "EventTiming", "id": ident, "pid": 1, "tid": 1}
+    data = {"type": kind, "interactionId": interaction, "timeStamp": began, "processingStart": start, "processingEnd": end, "duration": latency}
+    return [{**common, "ph": "b", "ts": ts, "args": {"data": data}}, {**common, "ph": "e", "ts": ts + int(latency * 1000)}]
+
+
+def test_stated_interaction(spark):
+    events = [*timed(1_000, "1", "pointerdown", 7, 10.0, 10.5, 10.75, 100.0), *timed(2_000, "2", "click", 7, 11.0, 11.5, 12.0, 90.0), *timed(3_000, "3", "mousedown", 0, 12.0, 12.1, 12.2, 50.0)]
+    events += [x("RunTask", 20_000, 5_000), x("RunTask", 30_000, 6_000), x("RunTask", 105_000, 50_000)]
+    a = analyse_recording(recorded(spark, t=events), "response")
+    (r,) = rows(a.responses, "t")
+    assert (r["kind"], r["elapsed"], r["exact"], r["working"], r["waiting"], len(r["chain"])) == ("pointerdown", 100_000, True, 11_000, 89_000, 2)
+    assert r["phases"].asDict() == {"input_delay": 500, "processing": 250, "presentation_delay": 99_250, "latency": 100_000}
+
+
 def test_marks(spark):
     def mark(ts, tid=1, **args):
         return {"ph": "I", "name": "m", "cat": "net", "s": "g", "pid": 1, "tid": tid, "ts": ts, "args": args}

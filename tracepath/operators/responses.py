@@ -83,7 +83,11 @@ def responses(activities: DataFrame, links: DataFrame, presentations: DataFrame,
     a = a.withColumns({"began": F.col("at"), "presented": F.when(F.col("phases").isNotNull(), F.col("at") + F.col("latency")).otherwise(F.col("deadline"))}).where("presented IS NOT NULL")
     inside = t.join(envelopes, ["trace_id", "activity_id"], "left_anti").select("trace_id", F.col("activity_id").alias("seed"), "start", "end", "tail")
     stated = a.where("phases IS NOT NULL").select("trace_id", "arrival_id", "began", "presented")
-    seeds = stated.join(inside, "trace_id").where("start >= began AND start < presented AND `end` <= presented")
+    # Windows meet what starts inside them in buckets as wide as the recording's widest window: each is in two at most.
+    width = stated.groupBy("trace_id").agg((F.max(F.col("presented") - F.col("began")) + 1).alias("width"))
+    stated = stated.join(width, "trace_id").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("began") / F.col("width")), F.floor(F.col("presented") / F.col("width"))))).drop("width")
+    inside = inside.join(width, "trace_id").withColumn("bucket", F.floor(F.col("start") / F.col("width"))).drop("width")
+    seeds = stated.join(inside, ["trace_id", "bucket"]).where("start >= began AND start < presented AND `end` <= presented")
     seeds = seeds.groupBy("trace_id", "arrival_id").agg(F.max_by("seed", F.struct("tail", -F.col("start"), -F.col("seed"))).alias("seed"))
     a = a.join(seeds, ["trace_id", "arrival_id"], "left").withColumn("first", F.coalesce("seed", "activity_id"))
     a = decode(a, t)
