@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = comps.select(F.col("node").alias("fp"), "component").join(classes, "fp")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = cut(linked.select("fp", "component").join(least, "component").select("fp", "component_id"))
-    labels = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    labels = cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
