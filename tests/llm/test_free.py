@@ -61,6 +61,17 @@ def test_seeds_miss_nothing():
         assert (n.label in {x[0] for x in scanner.fuzzy(s)}) == bool(found)
 
 
+def test_neighbouring_notices_all_count():
+    scan, exact = ls.Scanner().scan, "released under the mit license"
+    assert scan(f"released undr the mit license and {exact}")["spans"] == "mit:0:4:1,mit:6:10:0"
+    assert scan(f"releasd undr the mit license {exact}")["spans"] == "mit:0:4:2,mit:5:9:0"
+    r = random.Random(8)
+    for _ in range(60):
+        kinds = [r.choice([exact, "released undr the mit license", "releasd under the mit license", "releasd undr the mit license"]) for _ in range(4)]
+        want = ",".join(f"mit:{5 * i}:{5 * i + 4}:{('undr' in k) + ('releasd ' in k)}" for i, k in enumerate(kinds))
+        assert scan(" ".join(kinds))["spans"] == want
+
+
 # SimHash
 
 

@@ -2,7 +2,8 @@
 
 Each notice may be found with up to ``edits`` character edits. A notice is split into edits + 1 pieces: with
 so few edits one piece stands unchanged (pigeonhole), so exact search for the pieces locates every candidate,
-and bounded-error matching verifies a window around it and yields the span and the number of edits.
+and bounded-error matching verifies the window of each and yields the span and the number of edits. Of matches that
+overlap the best stays.
 
 Texts are lower-cased (A-Z only) and brought to words joined by single spaces, as UTF-8 bytes; words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Spans are in words, the first being 0.
@@ -13,6 +14,7 @@ an empty table gives an empty result; other columns are not read. The work is ro
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,41 +67,44 @@ class Scanner:
             p = n.text.encode()
             self.notices.append((n, pieces(p, n.edits), len(p), regex.compile(rb"(?b)(?:" + regex.escape(p, special_only=True) + rb"){e<=%d}" % n.edits)))
 
-    def windows(self, s: bytes, seeds: list[tuple[int, bytes]], length: int, edits: int) -> Iterator[tuple[int, int]]:
-        """Merged stretches of s that hold every candidate."""
-        found = []
+    def windows(self, s: bytes, seeds: list[tuple[int, bytes]], length: int, edits: int) -> list[tuple[int, int]]:
+        """Stretches of s, one for each place that a seed gives to a candidate."""
+        found = set()
         for at, piece in seeds:
             i = s.find(piece)
             while i >= 0:
-                found.append((max(0, i - at - edits), min(len(s), i - at + length + 2 * edits)))
+                found.add((max(0, i - at - edits), min(len(s), i - at + length + 2 * edits)))
                 i = s.find(piece, i + 1)
-        found.sort()
-        start, end = -1, -1
-        for a, b in found:
-            if a > end:
-                if end >= 0:
-                    yield start, end
-                start, end = a, b
-            else:
-                end = max(end, b)
-        if end >= 0:
-            yield start, end
+        return sorted(found)
 
-    def fuzzy(self, s: bytes) -> list[tuple[str, int, int, int]]:
-        """label, first word, last word, edits of each verified notice, by place."""
+    def search(self, s: bytes, forms: list) -> list[tuple[Notice, int, int, int]]:
+        """notice, start, end, edits of the matches of each form; of those of a form that overlap the best, then the first."""
         out = []
-        for n, seeds, length, pattern in self.notices:
+        for n, seeds, length, pattern in forms:
             # All pieces of a notice are as rare as its rarest words, so texts without any end here.
-            for a, b in self.windows(s, seeds, length, n.edits):
-                for m in pattern.finditer(s, a, b):
-                    i, j = m.span()
-                    body = s[i:j].strip()
-                    if body:
-                        i = s.index(body, i)
-                        first = s.count(b" ", 0, i + 1) - 1
-                        out.append((n.label, first, first + body.count(b" "), sum(m.fuzzy_counts)))
+            found = {(sum(m.fuzzy_counts), *m.span()) for a, b in self.windows(s, seeds, length, n.edits) if (m := pattern.search(s, a, b))}
+            taken: list[tuple[int, int]] = []
+            for e, i, j in sorted(found):
+                k = bisect_left(taken, (i, j))
+                if (k == 0 or taken[k - 1][1] <= i) and (k == len(taken) or taken[k][0] >= j):
+                    taken.insert(k, (i, j))
+                    out.append((n, i, j, e))
+        return out
+
+    def placed(self, s: bytes, found: list[tuple[Notice, int, int, int]]) -> list[tuple[str, int, int, int]]:
+        """label, first word, last word, edits, by place."""
+        out = []
+        for n, i, j, e in found:
+            body = s[i:j].strip()
+            if body:
+                first = s.count(b" ", 0, s.index(body, i) + 1) - 1
+                out.append((n.label, first, first + body.count(b" "), e))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
+    def fuzzy(self, s: bytes) -> list[tuple[str, int, int, int]]:
+        """label, first word, last word, edits of each verified notice, by place."""
+        return self.placed(s, self.search(s, self.notices))
+
     def exact(self, s: bytes) -> list[tuple[str, int]]:
         """label and first word of each place of a phrase."""
         out = []
