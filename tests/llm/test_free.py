@@ -72,6 +72,13 @@ def test_neighbouring_notices_all_count():
         assert scan(" ".join(kinds))["spans"] == want
 
 
+def test_edited_base_phrases_anywhere():
+    scan = ls.Scanner().scan
+    for text, label in (("distributed under the MIT licence", "mit"), ("available under the MIT licens", "mit"), ("x under the MIT licence", "mit"), ("distributed under the Apache Licence, version 2.0", "apache-2"), ("this is ccby nc", "cc-by-nc")):
+        got = scan(text)
+        assert got["labels"] == label and 0 < got["score"] < 1 and got["spans"].startswith(label)
+
+
 # SimHash
 
 

@@ -42,6 +42,13 @@ NOTICES: tuple[Notice, ...] = (
     Notice("gpl-3", "gnu general public license version 3", 3),
 )
 
+#: The base phrases, in any surroundings, with edits.
+CORES: tuple[Notice, ...] = (
+    Notice("mit", "under the mit license", 2),
+    Notice("apache-2", "apache license version 2", 3),
+    Notice("cc-by-nc", "cc by nc", 1),
+)
+
 KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -60,12 +67,12 @@ def pieces(phrase: bytes, edits: int) -> list[tuple[int, bytes]]:
 class Scanner:
     """Finds notices in normalised texts."""
 
-    def __init__(self, notices: tuple[Notice, ...] = NOTICES, phrases: tuple[tuple[str, str], ...] = PHRASES):
+    def __init__(self, notices: tuple[Notice, ...] = NOTICES, phrases: tuple[tuple[str, str], ...] = PHRASES, cores: tuple[Notice, ...] = CORES):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
-        self.notices = []
-        for n in notices:
+        self.notices, self.cores = [], []
+        for forms, n in [*((self.notices, n) for n in notices), *((self.cores, n) for n in cores)]:
             p = n.text.encode()
-            self.notices.append((n, pieces(p, n.edits), len(p), regex.compile(rb"(?b)(?:" + regex.escape(p, special_only=True) + rb"){e<=%d}" % n.edits)))
+            forms.append((n, pieces(p, n.edits), len(p), regex.compile(rb"(?b)(?:" + regex.escape(p, special_only=True) + rb"){e<=%d}" % n.edits)))
 
     def windows(self, s: bytes, seeds: list[tuple[int, bytes]], length: int, edits: int) -> list[tuple[int, int]]:
         """Stretches of s, one for each place that a seed gives to a candidate."""
@@ -105,6 +112,14 @@ class Scanner:
         """label, first word, last word, edits of each verified notice, by place."""
         return self.placed(s, self.search(s, self.notices))
 
+    def near(self, s: bytes) -> list[tuple[Notice, int, int, int]]:
+        """The verified notices, and the edited base phrases that stand in none of them."""
+        whole = self.search(s, self.notices)
+        for n, i, j, e in self.search(s, self.cores):
+            if e and not any(m.label == n.label and a < j and i < b for m, a, b, _ in whole):
+                whole.append((n, i, j, e))
+        return whole
+
     def exact(self, s: bytes) -> list[tuple[str, int]]:
         """label and first word of each place of a phrase."""
         out = []
@@ -117,8 +132,8 @@ class Scanner:
 
     def scan(self, text: str | None) -> dict:
         s = normal_words(text)
-        base, near = self.exact(s), self.fuzzy(s)
-        lengths = {n.label: length for n, _, length, _ in self.notices}
+        base, found = self.exact(s), self.near(s)
+        near = self.placed(s, found)
         starts = [at for _, at in base]
         return {
             "n_words": s.count(b" ") - 1,
@@ -127,7 +142,7 @@ class Scanner:
             "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted({x for x, _ in base})),
             "labels": ",".join(sorted({x for x, _ in base} | {x[0] for x in near})),
-            "score": 1.0 if base else max((1 - e / lengths[x] for x, _, _, e in near), default=0.0),
+            "score": 1.0 if base else max((1 - e / len(n.text) for n, _, _, e in found), default=0.0),
             "spans": ",".join(f"{x}:{a}:{b}:{e}" for x, a, b, e in near),
         }
 
