@@ -79,6 +79,15 @@ def test_edited_base_phrases_anywhere():
         assert got["labels"] == label and 0 < got["score"] < 1 and got["spans"].startswith(label)
 
 
+def test_other_licences_get_no_label():
+    scan = ls.Scanner().scan
+    for text in ("released under the BSD license", "released under the ISC license", "released under the GPL license", "licensed under CC BY 4.0", "licensed under CC BY-SA", "licensed under CC BY-ND", "licensed under CC BY the author", "GNU General Public License version 2", "licensed under the Apache License, version 1", "Apache License version 1.1"):
+        got = scan(text)
+        assert (got["labels"], got["score"], got["spans"]) == ("", 0.0, ""), text
+    for text, label in (("released under the mt license", "mit"), ("released under them it license", "mit"), ("licensed under cc by mc", "cc-by-nc"), ("GNU General Public Licence version 3", "gpl-3"), ("licensd under the Apache License version 2.0", "apache-2")):
+        assert scan(text)["labels"] == label, text
+
+
 # SimHash
 
 

@@ -49,6 +49,14 @@ CORES: tuple[Notice, ...] = (
     Notice("cc-by-nc", "cc by nc", 1),
 )
 
+#: What tells a notice from others: its word, and the words that stand there in other licences.
+TELLING: dict[str, tuple[str, tuple[str, ...]]] = {
+    "mit": ("mit", ("bsd", "isc", "gpl", "lgpl", "agpl", "mpl", "zlib")),
+    "apache-2": ("2", ()),
+    "cc-by-nc": ("nc", ("nd", "sa")),
+    "gpl-3": ("3", ()),
+}
+
 KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -64,6 +72,35 @@ def pieces(phrase: bytes, edits: int) -> list[tuple[int, bytes]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def distance(a: str, b: str) -> int:
+    """Edits between two words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def tells(s: bytes, n: Notice, start: int, end: int) -> bool:
+    """Whether the words at this place have the notice's telling word: a number as it is; a word as it is, be it split or
+    joined to its neighbours, or with one edit and nearer to it than to the words of other licences."""
+    if n.label not in TELLING:
+        return True
+    word, rivals = TELLING[n.label]
+    while start < end and s[start] == 0x20:
+        start += 1
+    while end > start and s[end - 1] == 0x20:
+        end -= 1
+    here = s[s.rfind(b" ", 0, start) + 1 : max(s.find(b" ", end), end)].decode("utf-8", "replace").split()
+    if word in here:
+        return True
+    rest = [w for w in here if w not in n.text.split()]
+    if word.isdigit() or any(w in rivals for w in rest):
+        return False
+    return word in "".join(here) or any(distance(w, word) == 1 and all(distance(w, x) > 1 for x in rivals) for w in rest)
+
+
 class Scanner:
     """Finds notices in normalised texts."""
 
@@ -113,10 +150,10 @@ class Scanner:
         return self.placed(s, self.search(s, self.notices))
 
     def near(self, s: bytes) -> list[tuple[Notice, int, int, int]]:
-        """The verified notices, and the edited base phrases that stand in none of them."""
-        whole = self.search(s, self.notices)
+        """The verified notices, and the edited base phrases that stand in none of them, if their telling word is there."""
+        whole = [x for x in self.search(s, self.notices) if tells(s, *x[:3])]
         for n, i, j, e in self.search(s, self.cores):
-            if e and not any(m.label == n.label and a < j and i < b for m, a, b, _ in whole):
+            if e and tells(s, n, i, j) and not any(m.label == n.label and a < j and i < b for m, a, b, _ in whole):
                 whole.append((n, i, j, e))
         return whole
 
