@@ -169,6 +169,19 @@ def test_escapes_round_trip():
         assert c.read_turns("".join(c.write_turn(*t)[0] for t in turns)) == turns
 
 
+def test_other_fields_are_ignored():
+    known = c.by_fingerprint(c.MAPPINGS)
+    want = [("user", "q"), ("assistant", "a")]
+    for record in (
+        {"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}], "id": 7},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "source": {"url": "u"}},
+        {"instruction": "q", "output": "a", "id": 1, "tags": ["x", {"y": 1}]},
+    ):
+        assert c.convert(json.dumps(record), known)[1] == want
+    for record in ({"messages": [{"role": "user", "content": [{"text": "q"}]}]}, {"messages": [{"role": "user", "content": "q"}, {"role": "user", "content": ["q"]}]}, {"id": 1}):
+        assert c.convert(json.dumps(record), known) == (None, [])
+
+
 def test_layouts():
     known = c.by_fingerprint(c.MAPPINGS)
     want = [("user", "q"), ("assistant", "a")]

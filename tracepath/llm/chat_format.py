@@ -1,7 +1,8 @@
 """Chat records of many layouts, formatted as one template.
 
 A record is JSON. The paths of its fields, sorted and hashed, are its fingerprint, and the fingerprint selects a
-declared mapping to canonical turns (role, text). Turns are written as
+declared mapping to canonical turns (role, text). Fields that no mapping reads are left out of the fingerprint, so a record
+may have more of them; what stands within a field that is read as a text is not left out. Turns are written as
 
     ### role: text</turn>
 
@@ -114,18 +115,31 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def convert(record: str | None, mappings: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]]]:
+class Layouts(dict):
+    """Mappings by fingerprint."""
+
+    def __init__(self, items):
+        super().__init__(items)
+        self.paths = frozenset().union(*(m.paths for m in self.values()))
+        self.within = tuple(p + x for p in self.paths if not p.endswith("[]") for x in ".[")
+
+    def read(self, paths: set[str]) -> set[str]:
+        """The paths that any mapping reads, and those within them."""
+        return {p for p in paths if p in self.paths or p.startswith(self.within)}
+
+
+def convert(record: str | None, mappings: Layouts) -> tuple[str | None, list[tuple[str, str]]]:
     """The layout's name, or None for an unknown one, and the turns."""
     try:
         value = json.loads(record) if record is not None else None
     except ValueError:
         value = None
-    m = mappings.get(fingerprint(field_paths(value))) if isinstance(value, dict) else None
+    m = mappings.get(fingerprint(mappings.read(field_paths(value)))) if isinstance(value, dict) else None
     return (m.name, m.turns(value)) if m else (None, [])
 
 
-def by_fingerprint(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
-    return {fingerprint(set(m.paths)): m for m in mappings}
+def by_fingerprint(mappings: tuple[Mapping, ...]) -> Layouts:
+    return Layouts((fingerprint(set(m.paths)), m) for m in mappings)
 
 
 SEGMENTS = "conv_id long, turn long, place int, layout string, segment string, loss_start int, loss_end int"
