@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -265,19 +266,36 @@ def test_out_of_place_distance():
 # tokens
 
 
-def test_byte_bpe_is_tiktoken():
+def libraries():
     path = P.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
-    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own = bb.tokenizer(path, P.PATTERN)
-    texts = [*mixed(7, 800, 90), "a" * 3000, "xyzzy" * 500, " " * 100, "", "it's  the\n\n end ", "éé" * 400, "<|endoftext|>"]
-    for t, ids in zip(texts, own.encode_all(texts)):
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bb.tokenizer(path, P.PATTERN)
+
+
+def everywhere():
+    """Every character of the first two planes (of the long uniform blocks one in 50) beside letters, numbers, blanks and marks."""
+    uniform = ((0x3400, 0x9FF0), (0xAC10, 0xD790), (0xE010, 0xF8F0), (0x17010, 0x18CC0), (0x1FBFA, 0x1FFFF))
+    codes = [chr(x) for x in range(1, 0x20000) if not 0xD800 <= x < 0xE000 and (x % 50 == 0 or not any(a <= x < b for a, b in uniform))]
+    codes += [chr(x) for a in (0x20000, 0x2EBE0, 0x30000, 0x32300, 0xE0000, 0x10FF00) for x in range(a, a + 0x100)]
+    for i in range(0, len(codes), 1000):
+        yield "".join(f"a{x}b 1{x}2 {x}. {x},  {x}" for x in codes[i : i + 1000])
+
+
+def test_byte_bpe_is_tiktoken():
+    library, own = libraries()
+    texts = [*mixed(7, 800, 90), "a" * 3000, "xyzzy" * 500, " " * 100, "", "it's  the\n\n end ", "éé" * 400, "<|endoftext|>", "\U0003f65a\u9902", "x\xa0  y\u3000\n z", *everywhere()]
+    for t, ids in zip(texts, own.encode_column(pa.array(texts))):
         assert ids.tolist() == library.encode_ordinary(t) and own.decode(ids.tolist()) == t.encode()
         assert own.decimal(ids) == " ".join(map(str, ids.tolist())).encode()
-    for t in texts[:50]:
-        if t and t.encode() not in ranks:
-            assert own.merges.one(t.encode()) == [i for i in own.merges.one(t.encode())]
+
+
+def test_byte_bpe_of_random_characters():
+    library, own = libraries()
+    r = random.Random(3)
+    codes = [chr(x) for x in range(1, 0x30000) if not 0xD800 <= x < 0xE000]
+    texts = ["".join(r.choice(codes if r.random() < 0.5 else ODD) for _ in range(r.randint(0, 12))) for _ in range(20_000)]
+    assert [x.tolist() for x in own.encode_column(pa.array(texts))] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_merges_side_by_side_are_merges_alone():
@@ -301,9 +319,12 @@ def test_tokens_of_documents(spark):
 def test_word_ids_are_the_library_s():
     path = P.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), b.word_ids(path)
-    texts = [*mixed(11, 800, 60), "It's A Stop. a, b.c", "x <|endoftext|> y", "ΑΣ İstanbul."]
-    for t, ids in zip(texts, own.encode_all(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    r = random.Random(12)
+    codes = [chr(x) for x in range(1, 0x30000) if not 0xD800 <= x < 0xE000]
+    drawn = ["".join(r.choice(codes if r.random() < 0.5 else ODD) for _ in range(r.randint(0, 12))) for _ in range(5_000)]
+    texts = [*mixed(11, 800, 60), "It's A Stop. a, b.c", "x <|endoftext|> y<|startoftext|>z.", "ΑΣ İstanbul.", "\u0f52.", "क़. क़,", *drawn, *everywhere()]
+    for t, ids in zip(texts, own.encode_column(pa.array(texts))):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)[:200]
 
 
 def test_matching_fills_and_never_overflows():

@@ -22,7 +22,6 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
-from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -32,59 +31,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracepath.llm.common import Memory, cut, portions, read_table
+from tracepath.llm.common import ASCII_BLANKS, Memory, Stretches, cut, encode_texts, read_table
 
 SIZE = 4096
 END_ID = 1
-#: Blanks for Python but not for the tokenizer.
-ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Letters whose lower case depends on others or has more characters.
-ODD_CASE = ("\u03a3", "\u0130")
 
 
 class WordIds:
-    """Ids as little-endian 32-bit numbers. The tokenizer drops blanks and no token spans one, so the ids of a
-    stretch between blanks are remembered; texts with odd blanks or special tokens are encoded whole."""
+    """Ids as little-endian 32-bit numbers. The tokenizer drops blanks and no token spans one, so the ids of a stretch
+    between blanks are remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.odd = (*ODD_BLANKS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
-        self.memory = Memory(self._stretches)
+        for t in self.tokenizer.get_added_tokens_decoder().values():
+            if t.lstrip or t.rstrip or t.single_word or any(c in t.content.encode() for c in ASCII_BLANKS):
+                raise ValueError(f"the token {t.content!r} depends on more than a stretch between blanks")
+        self.memory, self.stretches = Memory(self._stretches), Stretches()
 
-    def _library(self, words: list[str]) -> dict[str, bytes]:
+    def _library(self, words: list[bytes]) -> dict[bytes, bytes]:
         out = {}
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            e = self.tokenizer.encode([w.decode("utf-8", "replace") for w in some], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
             out |= {s: ids[a:b] for s, a, b in zip(some, cuts, cuts[1:])}
         return out
 
-    def _stretches(self, stretches: list[str]) -> dict[str, bytes]:
-        """A stop or comma after a letter is a token of its own, and the word before it the same as without it."""
-        stems = {s: s[:-1] if s[-1] in ".," and s[-2:-1].isalpha() else s for s in stretches}
-        young, old = self.memory.young, self.memory.old
-        ids = {w: v for w in set(stems.values()) if (v := young.get(w) or old.get(w)) is not None}
-        ids |= self._library(sorted({*stems.values(), ".", ","}.difference(ids)))
-        return {s: ids[w] if w is s else ids[w] + ids[s[-1]] for s, w in stems.items()}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.odd)}
-        ids = self.memory([[] if i in whole else self.cut(t) for i, t in enumerate(texts)])
-        for i in whole:
-            ids[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Stretches between blanks, lower-cased where that is what the tokenizer does to each character alone."""
-        if not any(x in text for x in ODD_CASE) and is_normalized("NFC", text):
-            text = text.lower()
-        return text.split()
+    def _stretches(self, stretches: list[bytes]) -> dict[bytes, bytes]:
+        """A stop or comma after a letter of ASCII is a token of its own, and the word before it the same as without it;
+        other letters may change with normalisation, so the library sees those words whole."""
+        words = {s: s.strip(ASCII_BLANKS) for s in stretches}
+        stems = {w: w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in set(words.values())}
+        ids = self._library(sorted({*stems.values(), b".", b","}))
+        return {s: ids[w] if stems[w] == w else ids[stems[w]] + ids[w[-1:]] for s, w in words.items()}
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        return encode_texts(texts, self.stretches, self.memory)
 
     def __call__(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return next(self.encode_column(pa.array([text]))).tobytes()
 
 
 @cache
@@ -103,9 +89,8 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         words, task, seen = word_ids(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            encoded = (ids for _, texts in portions(batch.column(1)) for ids in words.encode_all(texts))
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
-                ids += end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1))):
+                ids = ids.tobytes() + end
                 for piece, i in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[i : i + 4 * size]
                     n = len(part) // 4

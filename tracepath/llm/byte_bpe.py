@@ -5,8 +5,9 @@ of the least rank of a pair that starts there. A merge joins the pair at the roo
 at most: the merged token's own, its live left neighbour's and the swallowed one's; each update climbs to the root,
 so a piece of n bytes takes O(n log n) however long it is. Trees of short pieces are worked on side by side.
 
-Texts are cut by the published pattern. Stretches of blanks followed by other characters never share a match of it,
-so their tokens are remembered by stretch, in a table of bounded size. Decoding goes from ids to bytes.
+Texts are cut by the published pattern, with the letters and numbers of one version of Unicode whatever the worker's own
+is. Stretches of blanks followed by other characters never share a match of it, so the distinct stretches of a column
+are found first, and their tokens are remembered in a table of bounded size. Decoding goes from ids to bytes.
 
 Defined results: a null text is an empty text with no tokens; repeated rows give a row each; an empty table gives an
 empty result; other columns are not read. The work is row by row, without a shuffle.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -24,18 +26,47 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tracepath.llm.common import Memory, portions, read_table
+from tracepath.llm.common import Memory, Stretches, encode_texts, read_table
 
 #: Unicode's White_Space.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-STRETCH = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+WIDE_BLANKS = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The letters and numbers that Unicode 16, which defines the result, has and Unicode 15 has not.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x2EBF0, 0x2EE5D),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 NO_RANK = 1 << 62
 SIDE_BY_SIDE = 64
 
 
+@cache
+def characters(kind: str) -> str:
+    """The letters ("L") or numbers ("N") of Unicode 16, as ranges of a character class."""
+    if not "15" <= unicodedata.unidata_version < "17":
+        raise RuntimeError(f"Unicode {unicodedata.unidata_version} can't be brought to version 16")
+    new = NEW_LETTERS if kind == "L" else NEW_NUMBERS
+    codes = {c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind} | {c for a, b in new for c in range(a, b + 1)}
+    firsts, lasts = (sorted(c for c in codes if c + d not in codes) for d in (-1, 1))
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts))
+
+
+def compiled(pattern: str) -> re.Pattern:
+    """The pattern with its classes written out. They may stand by themselves or within brackets."""
+    classes = {r"\p{L}": characters("L"), r"\p{N}": characters("N"), r"\s": BLANK, r"\S": None}
+
+    def within(m: re.Match) -> str:
+        if m[0] in classes:
+            return f"[^{BLANK}]" if m[0] == r"\S" else f"[{classes[m[0]]}]"
+        return re.sub(r"\\p\{[LN]\}|\\s", lambda x: classes[x[0]], m[0])
+
+    return re.compile(re.sub(r"\[(?:[^\]\\]|\\.)*\]|\\p\{[LN]\}|\\[sS]", within, pattern))
+
+
 class Merges:
     """Merges by segment tree, over one long piece or over many short ones side by side.
 
@@ -168,9 +199,8 @@ class ByteBpe:
         self.merges = Merges(ranks)
         self.tokens = dict((i, t) for t, i in ranks.items())
         self.whole = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
-        # \s as White_Space, as in the library that defines the result
-        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}").replace(r"\s", f"[{BLANK}]").replace(r"\S", f"[^{BLANK}]"))
-        self.memory = Memory(self._stretches)
+        self.pattern = compiled(pattern)
+        self.memory, self.stretches = Memory(self._stretches), Stretches(WIDE_BLANKS)
         most = max(self.tokens, default=0) + 1
         digits = [f"{i} ".encode() for i in range(most)]
         width = max(map(len, digits))
@@ -191,16 +221,16 @@ class ByteBpe:
                 out |= zip(some[i : i + 4096], self.merges.many(some[i : i + 4096], size))
         return out
 
-    def _stretches(self, stretches: list[str]) -> dict[str, bytes]:
-        cuts = {s: [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(s)] for s in stretches}
+    def _stretches(self, stretches: list[bytes]) -> dict[bytes, bytes]:
+        cuts = {s: [x.encode("utf-8", "surrogateescape") for x in self.pattern.findall(s.decode("utf-8", "surrogateescape"))] for s in stretches}
         ids = self._pieces({x for xs in cuts.values() for x in xs})
         return {s: b"".join([ids[x] for x in xs]) for s, xs in cuts.items()}
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.memory([STRETCH.findall(t) for t in texts])]
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        return encode_texts(texts, self.stretches, self.memory)
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0].tolist()
+        return next(self.encode_column(pa.array([text]))).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -223,9 +253,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
         for batch in batches:
-            for first, texts in portions(batch.column(1)):
-                ids = pa.array([x.astype(np.int32) for x in t.encode_all(texts)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids], ["doc_id", "ids"])
+            ids = pa.array([x.astype(np.int32) for x in t.encode_column(batch.column(1))], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -248,11 +277,10 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         t = tokenizer(path, pattern)
         for batch in batches:
             n, a, b = [], [], []
-            for _, texts in portions(batch.column(1)):
-                for ids in t.encode_all(texts):
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(t.decimal(ids)).hexdigest())
-                    b.append(hashlib.sha256(t.decode(ids.tolist())).hexdigest())
+            for ids in t.encode_column(batch.column(1)):
+                n.append(len(ids))
+                a.append(hashlib.sha256(t.decimal(ids)).hexdigest())
+                b.append(hashlib.sha256(t.decode(ids.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,40 +34,96 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def portions(texts: pa.Array, chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
-    """Texts (null: empty) in stretches of about so many characters, each with the place of its first."""
-    first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        held.append(t.as_py() or "")
-        size += len(held[-1])
-        if size >= chars:
-            yield first, held
-            first, held, size = i + 1, [], 0
-    if held:
-        yield first, held
+#: Blanks of one byte.
+ASCII_BLANKS = b"\t\n\x0b\x0c\r "
+
+
+class Stretches:
+    """Cuts texts into stretches: blanks, then what is not blank; at a text's end blanks alone. Works on the bytes of a
+    whole column at once, and finds the distinct stretches by hashing them where they stand."""
+
+    def __init__(self, wide_blanks: str = ""):
+        self.narrow = np.isin(np.arange(256), list(ASCII_BLANKS))
+        self.wide: list[tuple[int, np.ndarray, list[int]]] = []
+        for n in (2, 3):
+            codes = [x for c in wide_blanks if len(x := c.encode()) == n]
+            if codes:
+                self.wide.append((n, np.isin(np.arange(256), [x[0] for x in codes]), [int.from_bytes(x, "big") for x in codes]))
+
+    def _blank(self, data: np.ndarray) -> np.ndarray:
+        b = self.narrow[data]
+        for n, leads, codes in self.wide:
+            at = np.flatnonzero(leads[data[: len(data) - n + 1]]) if len(data) >= n else np.empty(0, np.int64)
+            value = np.zeros(len(at), np.int64)
+            for k in range(n):
+                value = value << 8 | data[at + k]
+            at = at[np.isin(value, codes)]
+            for k in range(n):
+                b[at + k] = True
+        return b
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The first stretch of each text (and the number of all), the number of each stretch's content, the contents."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = texts.buffers()[2]
+        data = np.frombuffer(whole, np.uint8)[offsets[0] : offsets[-1]] if whole is not None else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(len(offsets), np.int64), np.empty(0, np.int32), []
+        b = self._blank(data)
+        begins = np.zeros(len(data), bool)
+        begins[1:] = b[1:] & ~b[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = pa.py_buffer(np.append(starts, len(data)))
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        return np.searchsorted(starts, offsets), found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def portions(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """Slices of whole texts of about so many bytes; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 class Memory:
-    """Remembers what short strings are encoded to, in two generations of bounded size: when the younger one is full it
+    """Remembers what short stretches are encoded to, in two generations of bounded size: when the younger one is full it
     becomes the older one, and what is asked for again comes back from there."""
 
-    def __init__(self, encode: Callable[[list[str]], dict[str, bytes]], most: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[bytes]], dict[bytes, bytes]], most: int = 400_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def __call__(self, rows: list[list[str]]) -> list[bytes]:
-        """The codes of each row, joined."""
-        get = self.young.get
-        codes = [list(map(get, row)) for row in rows]
-        missing = {s for row, c in zip(rows, codes) for s, v in zip(row, c) if v is None}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, distinct: list[bytes]) -> list[bytes]:
+        """The code of each of some distinct stretches."""
+        codes = list(map(self.young.get, distinct))
+        missing = [s for s, c in zip(distinct, codes) if c is None]
         new = {s: v for s in missing if (v := self.old.get(s)) is not None}
-        new |= self.encode(sorted(missing.difference(new)))
+        new |= self.encode(sorted(s for s in missing if s not in new))
         if len(self.young) + len(new) > self.most:
             self.young, self.old = {}, self.young
         self.young |= {s: v for s, v in new.items() if len(s) <= self.longest}
-        return [b"".join([new[s] if v is None else v for s, v in zip(row, c)]) for row, c in zip(rows, codes)]
+        return [new[s] if c is None else c for s, c in zip(distinct, codes)]
+
+
+def encode_texts(texts: pa.Array, stretches: Stretches, memory: Memory) -> Iterator[np.ndarray]:
+    """The ids of each text, the codes of its stretches (little-endian 32-bit numbers) joined."""
+    for part in portions(texts):
+        first, which, distinct = stretches(part)
+        codes = memory(distinct)
+        lengths = np.fromiter((len(c) >> 2 for c in codes), np.int64, len(codes))
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        each = lengths[which]
+        ends = np.cumsum(each)
+        shift = (np.cumsum(lengths) - lengths)[which] - (ends - each)
+        ids = flat[np.repeat(shift, each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.append(0, ends)[first].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b]
