@@ -82,9 +82,18 @@ def test_edited_base_phrases_anywhere():
 
 def test_other_licences_get_no_label():
     scan = ls.Scanner().scan
-    for text in ("released under the BSD license", "released under the ISC license", "released under the GPL license", "licensed under CC BY 4.0", "licensed under CC BY-SA", "licensed under CC BY-ND", "licensed under CC BY the author", "GNU General Public License version 2", "licensed under the Apache License, version 1", "Apache License version 1.1"):
+    for text in ("released under the GPL license", "licensed under CC BY 4.0", "licensed under CC BY the author", "GNU General Public License version 1", "GNU Library General Public License version 2", "licensed under the Apache License, version 1", "Apache License version 1.1"):
         got = scan(text)
         assert (got["labels"], got["score"], got["spans"]) == ("", 0.0, ""), text
+    for text, label in (
+        ("released under the BSD license", "bsd"), ("released under the ISC license", "isc"), ("licensed under CC BY-SA", "cc-by-sa"), ("licensed under CC BY-ND", "cc-by-nd"),
+        ("GNU General Public License version 2", "gpl-2"), ("GNU Lesser General Public License, version 3", "lgpl-3"), ("gnu leser general public licence version 2", "lgpl-2"),
+        ("GNU Affero General Public License version 3", "agpl-3"), ("Mozilla Public License Version 2.0", "mpl-2"), ("Boost Software Licence - Version 1.0", "bsl-1"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this softwre", "mit"),
+        ("Redistribution and use in source and binary form, with or without modifications, are permitted", "bsd"),
+        ("This is free and unencumbered software released to the public domain.", "unlicense"),
+    ):
+        assert scan(text)["labels"] == label, text
     for text, label in (("released under the mt license", "mit"), ("released under them it license", "mit"), ("licensed under cc by mc", "cc-by-nc"), ("GNU General Public Licence version 3", "gpl-3"), ("licensd under the Apache License version 2.0", "apache-2")):
         assert scan(text)["labels"] == label, text
 
@@ -193,7 +202,7 @@ def test_layouts():
     ):
         assert c.convert(json.dumps(record), known)[1] == want
     assert c.convert('{"messages":[]}', known) == ("no messages", [])
-    for odd in ('{"what":1}', "nonsense", None, "[]", "3"):
+    for odd in ('{"what":1}', "nonsense", None, "[]", "3", '{"messages[].role":"user","messages[].content":"q"}', '{"messages[]":"x"}'):
         assert c.convert(odd, known) == (None, [])
 
 
@@ -232,6 +241,9 @@ def test_exact_duplicates(spark, table_bytes):
     assert [(rows[i]["keep_id"], rows[i]["group_size"], rows[i]["kept"]) for i in range(8)] == [(5, 3, False), (1, 1, True), (5, 3, False), (4, 2, False), (4, 2, True), (5, 3, True), (7, 2, False), (7, 2, True)]
     assert len(rows) == len(texts) and rows[3]["text_sha256"] == hashlib.sha256(b"").hexdigest()
     assert e.exact_duplicates(d.limit(0)).count() == 0
+    least = -(1 << 63)
+    edge = spark.createDataFrame([(least, "a"), (None, "a"), (least, "b")], "doc_id long, text string")
+    assert [r["keep_id"] for r in e.exact_duplicates(edge, table_bytes=table_bytes).collect()] == [least] * 3
     nulls = spark.createDataFrame([(None, "a"), (2, "a"), (None, "z")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["keep_id"], r["kept"]) for r in e.exact_duplicates(nulls).collect() if r["keep_id"]) == [(-1, 2, False), (2, 2, True)]
 
@@ -255,6 +267,41 @@ def test_languages(spark):
     assert {x["lang_pred"] for x in l.identify(d.drop("lang").selectExpr("*", "CAST(NULL AS string) AS lang")).collect()} == {"und"}
 
 
+def test_ranks_and_distances_by_definition(spark):
+    r = random.Random(5)
+    d = [(i, " ".join("".join(r.choice(k * 3 + "abc éЖ1") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 25))), k) for i in range(150) for k in [r.choice("xyz")]]
+    d += [(200, None, "x"), (201, "1 2", "y"), (202, "Abc aBC", None)]
+
+    def grams(t):
+        out = defaultdict(int)
+        s = " " + " ".join(regex.findall(r"\p{L}+", (t or "").lower())) + " "
+        for n in (1, 2, 3):
+            for i in range(len(s) - n + 1):
+                g = s[i : i + n]
+                if g != " " and not (n == 3 and g[1] == " "):
+                    out[g] += 1
+        return out if len(s) > 2 else {}
+
+    def order(counts, size):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], [0] * (3 - len(x[0])) + [ord(c) for c in x[0]]))][:size]
+
+    import zlib
+
+    for size in (20, 300):
+        sums = defaultdict(lambda: defaultdict(int))
+        for i, t, k in d:
+            if zlib.crc32(str(i).encode()) % 3 != 1 and t is not None and k is not None:
+                for g, n in grams(t).items():
+                    sums[k][g] += n
+        profiles = {k: order(v, size) for k, v in sums.items()}
+        got = {x["doc_id"]: x for x in l.identify(spark.createDataFrame(d, "doc_id long, text string, lang string"), size).collect()}
+        for i, t, _ in d:
+            own = order(grams(t), size)
+            far = min((sum(abs(p.index(g) - j) if g in p else size for j, g in enumerate(own)), k) for k, p in profiles.items())
+            want = ("und", 0.0) if not own else (far[1], max(0.0, 1 - far[0] / (size * len(own))))
+            assert (got[i]["lang_pred"], pytest.approx(got[i]["score"])) == want and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
 def test_out_of_place_distance():
     c_ = l.Classifier({"x": [1, 2, 3], "y": [3, 2, 1]}, size=3)
     g, n = l.ngrams("ab")

@@ -138,6 +138,8 @@ def match_classes(census: dict[int, int], size: int = SIZE) -> tuple[list[tuple[
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``token_pieces``."""
+    if not 0 < size < 1 << 15:
+        raise ValueError("size must be below 32768: a length and a rank share one long")
     spark = pieces.sparkSession
     pieces = cut(pieces)
     counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))

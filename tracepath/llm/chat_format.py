@@ -36,9 +36,11 @@ PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
 def field_paths(value, path: str = "") -> set[str]:
-    """Paths of the leaves; a list is one step ``[]``, an empty object or list is a leaf."""
+    """Paths of the leaves; a list is one step ``[]``, an empty object or list is a leaf. Dots, brackets and backslashes of a
+    name have a backslash before them."""
     if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items()))
+        names = {k: re.sub(r"[.\[\\]", r"\\\g<0>", k) for k in value}
+        return set().union(*(field_paths(v, f"{path}.{names[k]}" if path else names[k]) for k, v in value.items()))
     if isinstance(value, list):
         return set().union(*(field_paths(v, f"{path}[]") for v in value)) if value else {f"{path}[]"}
     return {path}

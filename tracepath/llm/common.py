@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """Rows of left with the row of right (one a key) of their key, on columns named alike. Keys on more than 1/most of
+    left's rows, of which there are fewer than ``most`` however large left is, are broadcast; the rest is dealt by key, so
+    no task gets more than that part of left through one key. Both sides are read twice."""
+    counts = cut(left.groupBy(key).count())
+    n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("count") > max(n // most, 1000)).select(key)
+    if hot.isEmpty():
+        return left.join(right, key)
+    rare = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
+    return rare.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), key)), key))
+
+
 #: Blanks of one byte.
 ASCII_BLANKS = b"\t\n\x0b\x0c\r "
 

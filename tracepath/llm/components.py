@@ -3,8 +3,8 @@
 Each round every node points to the least of itself and its neighbours, pointers are doubled until they end at nodes
 that point to themselves, and the edges are contracted to those ends. Doubling takes the logarithm of the longest run of
 pointers, and only ends that are the least of their own neighbourhood outlive a round, so few rounds are needed. The
-minima are pre-aggregated before the shuffle; the joins back are plain sort-merge joins, which adaptive execution may
-split at hubs.
+minima are pre-aggregated before the shuffle; in the joins back, nodes that very many rows point to are broadcast, and no
+others.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepath.llm.common import cut
+from tracepath.llm.common import cut, spread_join
 
 
 def _follow(parent: DataFrame) -> DataFrame:
     """u, p with p replaced by the end of its run of pointers; ends point to themselves."""
     while True:
         up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        further = cut(parent.join(up, "p").select("u", "p", "pp"))
+        further = cut(spread_join(parent, up, "p").select("u", "p", "pp"))
         parent = further.select("u", F.col("pp").alias("p"))
         if further.where("p <> pp").isEmpty():
             return parent
@@ -37,9 +37,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
             step = parent.select(F.col("u").alias("component"), "p")
-            labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
-        e = e.join(parent, "u").select(F.col("p").alias("pu"), "v")
-        e = e.join(parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+            rest = labels.select("component").distinct().join(step, "component", "left_anti")
+            step = cut(step.union(rest.select("component", F.col("component").alias("p"))))
+            labels = cut(spread_join(labels, step, "component").select("node", F.col("p").alias("component")))
+        e = spread_join(e, parent, "u").select(F.col("p").alias("pu"), "v")
+        e = spread_join(e, parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
         e = cut(e.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
     if labels is None:
         labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

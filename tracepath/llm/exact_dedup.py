@@ -29,7 +29,7 @@ from tracepath.llm.common import read_table
 TABLE_BYTES = 96 << 20
 FAN_OUT = 16
 MAX_DEPTH = 12
-NONE = -(1 << 63)
+NONE = -(1 << 63) - 1  # below every id
 
 #: content, largest id (NONE if there is none), number of rows
 Record = tuple[bytes, int, int]
@@ -95,7 +95,7 @@ def fold(records: Iterable[Record], table_bytes: int = TABLE_BYTES) -> Iterator[
     yield from table.records()
 
 
-_HEAD = struct.Struct("<qqQ")
+_HEAD = struct.Struct("<?qqQ")
 
 
 def grace(records: Iterable[Record], table_bytes: int = TABLE_BYTES, depth: int = 0, fan_out: int = FAN_OUT) -> Iterator[Record]:
@@ -113,7 +113,7 @@ def grace(records: Iterable[Record], table_bytes: int = TABLE_BYTES, depth: int
         for source in (table.records(), rest):
             for content, keep, count in source:
                 f = files[xxhash.xxh64_intdigest(content, depth + 1) % fan_out]
-                f.write(_HEAD.pack(keep, count, len(content)))
+                f.write(_HEAD.pack(keep != NONE, max(keep, NONE + 1), count, len(content)))
                 f.write(content)
         del table
         for f in files:
@@ -127,13 +127,16 @@ def grace(records: Iterable[Record], table_bytes: int = TABLE_BYTES, depth: int
 
 def _read(f) -> Iterator[Record]:
     while head := f.read(_HEAD.size):
-        keep, count, n = _HEAD.unpack(head)
-        yield f.read(n), keep, count
+        there, keep, count, n = _HEAD.unpack(head)
+        yield f.read(n), keep if there else NONE, count
 
 
 def content_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """sha256, keep_id, group_size of each distinct text."""
-    rows = docs.selectExpr(f"coalesce(CAST(`{id_col}` AS BIGINT), {NONE + 1} - 1) AS keep", f"CAST(coalesce(`{text_col}`, '') AS BINARY) AS content")
+    rows = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS keep", f"CAST(coalesce(`{text_col}`, '') AS BINARY) AS content")
+
+    def or_none(x: int | None) -> int:
+        return NONE if x is None else x
 
     def out(records: Iterable[Record], as_row) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -152,16 +155,16 @@ def content_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["content" if first == pa.binary() else "sha256", "keep", "n", "h"][: len(kinds)])
 
     def fold_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records = ((c.as_py(), k.as_py(), 1) for b in batches for k, c in zip(b.column(0), b.column(1)))
-        yield from out(fold(records, table_bytes), lambda r: (*r, xxhash.xxh64_intdigest(r[0], 99) - (1 << 63)))
+        records = ((c.as_py(), or_none(k.as_py()), 1) for b in batches for k, c in zip(b.column(0), b.column(1)))
+        yield from out(fold(records, table_bytes), lambda r: (r[0], None if r[1] == NONE else r[1], r[2], xxhash.xxh64_intdigest(r[0], 99) - (1 << 63)))
 
     def grace_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records = ((c.as_py(), k.as_py(), n.as_py()) for b in batches for c, k, n in zip(b.column(0), b.column(1), b.column(2)))
-        yield from out(grace(records, table_bytes), lambda r: (hashlib.sha256(r[0]).hexdigest(), r[1], r[2]))
+        records = ((c.as_py(), or_none(k.as_py()), n.as_py()) for b in batches for c, k, n in zip(b.column(0), b.column(1), b.column(2)))
+        yield from out(grace(records, table_bytes), lambda r: (hashlib.sha256(r[0]).hexdigest(), None if r[1] == NONE else r[1], r[2]))
 
     folded = rows.mapInArrow(fold_part, "content binary, keep long, n long, h long")
     dealt = folded.repartition("h").select("content", "keep", "n")
-    return dealt.mapInArrow(grace_part, "sha256 string, keep long, n long").selectExpr("sha256", f"nullif(keep, {NONE + 1} - 1) AS keep_id", "n AS group_size")
+    return dealt.mapInArrow(grace_part, "sha256 string, keep long, n long").selectExpr("sha256", "keep AS keep_id", "n AS group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:

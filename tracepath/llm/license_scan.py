@@ -8,8 +8,8 @@ overlap the best stays.
 Texts are lower-cased (A-Z only) and brought to words joined by single spaces, as UTF-8 bytes; words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Spans are in words, the first being 0.
 
-Defined results: a null text is an empty text without words, places or labels; repeated rows give a row each;
-an empty table gives an empty result; other columns are not read. The work is row by row, without a shuffle.
+Defined results: a null text is an empty text without words, places or labels; a text of any length is searched as one row of
+bytes; null ids and repeated rows give a row each; an empty table gives an empty result; other columns are not read. The work is row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -37,9 +37,25 @@ class Notice:
 
 NOTICES: tuple[Notice, ...] = (
     Notice("mit", "released under the mit license", 3),
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", 8),
     Notice("apache-2", "licensed under the apache license version 2", 4),
     Notice("cc-by-nc", "licensed under cc by nc", 2),
+    Notice("cc-by-sa", "licensed under cc by sa", 2),
+    Notice("cc-by-nd", "licensed under cc by nd", 2),
+    Notice("cc0", "cc0 1 0 universal public domain dedication", 3),
     Notice("gpl-3", "gnu general public license version 3", 3),
+    Notice("gpl-2", "gnu general public license version 2", 3),
+    Notice("lgpl-3", "gnu lesser general public license version 3", 3),
+    Notice("lgpl-2", "gnu lesser general public license version 2", 3),
+    Notice("agpl-3", "gnu affero general public license version 3", 3),
+    Notice("mpl-2", "mozilla public license version 2", 3),
+    Notice("epl-2", "eclipse public license version 2", 3),
+    Notice("bsl-1", "boost software license version 1", 3),
+    Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 8),
+    Notice("bsd", "released under the bsd license", 3),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 7),
+    Notice("isc", "released under the isc license", 3),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", 6),
 )
 
 #: The base phrases, in any surroundings, with edits.
@@ -49,12 +65,21 @@ CORES: tuple[Notice, ...] = (
     Notice("cc-by-nc", "cc by nc", 1),
 )
 
-#: What tells a notice from others: its word, and the words that stand there in other licences.
-TELLING: dict[str, tuple[str, tuple[str, ...]]] = {
-    "mit": ("mit", ("bsd", "isc", "gpl", "lgpl", "agpl", "mpl", "zlib")),
-    "apache-2": ("2", ()),
-    "cc-by-nc": ("nc", ("nd", "sa")),
-    "gpl-3": ("3", ()),
+#: What tells a notice from others: words that must all be there, and words that stand there in other licences. Notices
+#: of a label that have none of its words, being long texts of their own, need nothing told.
+_NAMES = ("mit", "bsd", "isc", "gpl", "lgpl", "agpl", "mpl", "zlib")
+_GNU = ("lesser", "affero", "library")
+TELLING: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    **{x: ((x,), tuple(y for y in _NAMES if y != x)) for x in ("mit", "bsd", "isc")},
+    "apache-2": (("2",), ()),
+    **{f"cc-by-{x}": ((x,), tuple(y for y in ("nc", "nd", "sa") if y != x)) for x in ("nc", "nd", "sa")},
+    "cc0": (("cc0",), ()),
+    **{f"gpl-{n}": ((n,), _GNU) for n in "23"},
+    **{f"lgpl-{n}": (("lesser", n), _GNU[1:]) for n in "23"},
+    "agpl-3": (("affero", "3"), ("lesser", "library")),
+    "mpl-2": (("mozilla", "2"), ("eclipse", "netscape")),
+    "epl-2": (("eclipse", "2"), ("mozilla", "netscape")),
+    "bsl-1": (("boost", "1"), ()),
 }
 
 KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -83,22 +108,25 @@ def distance(a: str, b: str) -> int:
 
 
 def tells(s: bytes, n: Notice, start: int, end: int) -> bool:
-    """Whether the words at this place have the notice's telling word: a number as it is; a word as it is, be it split or
-    joined to its neighbours, or with one edit and nearer to it than to the words of other licences."""
-    if n.label not in TELLING:
+    """Whether the words at this place have each of the notice's telling words: a number as it is; a word as it is, be it
+    split or joined to its neighbours, or with one edit and nearer to it than to the words of other licences."""
+    words, rivals = TELLING.get(n.label, ((), ()))
+    own = n.text.split()
+    words = [w for w in words if w in own]
+    if not words:
         return True
-    word, rivals = TELLING[n.label]
     while start < end and s[start] == 0x20:
         start += 1
     while end > start and s[end - 1] == 0x20:
         end -= 1
     here = s[s.rfind(b" ", 0, start) + 1 : max(s.find(b" ", end), end)].decode("utf-8", "replace").split()
-    if word in here:
-        return True
-    rest = [w for w in here if w not in n.text.split()]
-    if word.isdigit() or any(w in rivals for w in rest):
-        return False
-    return word in "".join(here) or any(distance(w, word) == 1 and all(distance(w, x) > 1 for x in rivals) for w in rest)
+    rest = [w for w in here if w not in own]
+    for word in words:
+        if word not in here and (
+            word.isdigit() or any(w in rivals for w in rest) or not (word in "".join(rest) or any(distance(w, word) == 1 and all(distance(w, x) > 1 for x in rivals) for w in rest))
+        ):
+            return False
+    return not (own[0] == "gnu" and any(w in rivals for w in rest))
 
 
 class Scanner:

@@ -117,7 +117,7 @@ def ablations(rows: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES,
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(read_table(spark, sf_dir, "documents")), policy_mask(POLICIES[CURRENT]), "passed")
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("passed")).alias("kept"), "failure_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("passed")).alias("kept"), "failure_bits", "n_lines", "n_upper")
 
 
 OP1_SQL = r"""
@@ -144,5 +144,5 @@ b AS (
      + CASE WHEN word_chars < 2 * n_words OR word_chars > 25 * n_words THEN 16 ELSE 0 END
      + CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END)::BIGINT AS failure_bits
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failure_bits = 0 AS kept, failure_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failure_bits = 0 AS kept, failure_bits, n_lines, n_upper FROM b
 """

@@ -1,17 +1,18 @@
 """Secrets in texts, and multipart credentials, with DataFrame expressions only.
 
 Patterns with a meaning of their own (an assignment to a secret's name, an access identifier, a long hexadecimal
-run) are reported wherever they stand. A bare run of letters and digits is a weak candidate: it is reported, as kind
-``weak``, only if a complementary part, an access identifier or a client's or user's name that is assigned, stands within
-``SCOPE`` code points of it, and an endpoint is reported, as kind ``endpoint``, if a weak candidate that was so confirmed
-is within that scope. Parts meet by an interval join: an equi-join on scopes of that width, each part also standing in the
-scopes beside its own, with the distance checked after it. Parts of one kind don't overlap, so a scope holds a bounded
-number of them, whatever the length of its text.
-
-Texts never leave the scan: a row with matches sends the lengths of its matches and of the stretches between them,
-and sums over those give the places.
-
-Defined results: a null text is an empty text without spans; rows that repeat doc_id and text give a row each with
+run) are reported wherever they stand. A bare run of letters and digits is a weak candidate, which alone means nothing: it
+is reported, as kind ``weak``, only if a complementary part stands within ``SCOPE`` code points of it and outside it: an
+access identifier, a client's or user's name that is assigned, or an endpoint. An endpoint is reported, as kind
+``endpoint``, if something that unlocks it is within that scope: an assigned secret, an access identifier or a weak
+candidate that was confirmed. Parts meet by an interval join: an equi-join on scopes of that width, each part also
+standing in the scopes beside its own, with the distance checked after it. Parts of one kind don't overlap, so a scope
+holds a bounded number of them, whatever the length of its text.
+
+Texts don't leave the scan: a row with matches sends the lengths of its matches and of the stretches between them, and
+sums over those give the places. Only redaction moves texts, and of them only those that may have a span.
+
+Defined results: a null text is an empty text without spans; a text of any length is scanned as one row; rows that repeat doc_id and text give a row each with
 the same spans; an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,7 +29,7 @@ PATTERNS: tuple[tuple[str, str, int, int], ...] = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
     ("weak", r"[A-Za-z0-9+/_]{20,}", 0, 20),
-    ("endpoint", r"https?://[A-Za-z0-9][A-Za-z0-9.:-]*", 0, 8),
+    ("endpoint", r"""https?://[A-Za-z0-9][^\x00-\x20"'<>]*""", 0, 8),
     ("name", r"""([Cc][Ll][Ii][Ee][Nn][Tt]|[Uu][Ss][Ee][Rr]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])_?([Ii][Dd]|[Nn][Aa][Mm][Ee])["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 3, 3),
 )
 BASE = ("assign", "access", "hex")
@@ -65,24 +66,24 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
-    """Rows of left with a row of right in the same text whose gap to it is at most scope code points."""
+    """Rows of left with a row of right in the same text that is beside it, with a gap of at most scope code points."""
     bucket = F.floor(F.col("start") / scope)
     r = right.select(F.col("row").alias("r_row"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("end") / scope) + 1)).alias("r_bucket"))
     l = left.withColumn("bucket", F.explode(F.sequence(bucket, F.floor(F.col("end") / scope))))
-    close = (F.col("r_start") - F.col("end") <= scope) & (F.col("start") - F.col("r_end") <= scope)
+    close = F.greatest(F.col("r_start") - F.col("end"), F.col("start") - F.col("r_end")).between(0, scope)
     return l.join(r, (F.col("row") == F.col("r_row")) & (F.col("bucket") == F.col("r_bucket")) & close, "left_semi").drop("bucket").distinct()
 
 
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The spans to report: those of BASE, and weak candidates and endpoints whose complement is at hand."""
+    """The spans to report: those of BASE, and weak candidates (outside of those) and endpoints whose complement is at hand."""
     base = parts.where(F.col("kind").isin(*BASE))
-    weak = _near(parts.where("kind = 'weak'"), parts.where("kind IN ('access', 'name')"), scope)
+    weak = _near(parts.where("kind = 'weak'"), parts.where("kind IN ('access', 'name', 'endpoint')"), scope)
     spoken = base.select(F.col("row").alias("b_row"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("b_bucket"))
     weak = weak.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
     inside = (F.col("row") == F.col("b_row")) & (F.col("bucket") == F.col("b_bucket")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))
     covered = weak.join(spoken, inside, "left_semi").select("row", "start").distinct()
     weak = weak.drop("bucket").distinct().join(covered, ["row", "start"], "left_anti").select(parts.columns)
-    endpoints = _near(parts.where("kind = 'endpoint'"), weak, scope)
+    endpoints = _near(parts.where("kind = 'endpoint'"), weak.union(base.where("kind IN ('assign', 'access')")), scope)
     return base.union(weak).union(endpoints.select(parts.columns))
 
 
@@ -120,7 +121,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, mark: str = REDACTED) -> DataFrame:
     """docs with every reported span of the text replaced by a mark; all rows and columns stay."""
-    found = _with_spans(docs, secret_spans(docs, id_col, text_col, scope), id_col, text_col)
+    may = F.lit(False)  # in these kinds every reported span has its start, but for endpoints, which need one of them
+    for kind, pattern, _, _ in PATTERNS:
+        if kind in (*BASE, "weak"):
+            may = may | F.coalesce(F.col(text_col).rlike(pattern), F.lit(False))
+    some, columns = docs.where(may), docs.columns
+    found = _with_spans(some, secret_spans(some, id_col, text_col, scope), id_col, text_col)
     t = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -129,34 +135,37 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc.out, F.substring(t, (acc.at + 1).cast("int"), F.length(t))))
-    return found.withColumn(text_col, F.when(F.col("_spans").isNull(), t).otherwise(whole)).select(docs.columns)
+    return found.withColumn(text_col, F.when(F.col("_spans").isNull(), t).otherwise(whole)).select(columns).union(docs.where(~may))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
-def _sql() -> str:
-    parts = []
-    for number, (kind, pattern, group, least) in enumerate(PATTERNS):
-        p = pattern.replace("'", "''")
-        telling = "AND regexp_matches(f, '[0-9]') AND regexp_matches(f, '[A-Za-z]')" if kind == "weak" else ""
-        parts.append(f"""
-  SELECT rid, '{kind}' AS kind, {number} AS k, s AS start, s + length(f) AS stop FROM (
+_SPLIT = """
+  SELECT rid, '{kind}' AS kind, {k} AS k, s AS start, s + length(f) AS stop FROM (
     SELECT rid, unnest(list_transform(range(1, len(f) + 1), lambda i: list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s,
       unnest(f) AS f, unnest(m) AS m
     FROM (SELECT rid, string_split_regex(t, '{p}') AS b, regexp_extract_all(t, '{p}', 0) AS f, regexp_extract_all(t, '{p}', {group}) AS m FROM d WHERE regexp_matches(t, '{p}')))
-  WHERE length(m) >= {least} {telling}""")
-    near = f"b.start - a.stop <= {SCOPE} AND a.start - b.stop <= {SCOPE}"
-    return f"""
+  WHERE length(m) >= {least}"""
+
+#: The definition once more, by itself: all pairs of parts of a text, without scopes.
+OP8_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-p AS MATERIALIZED ({" UNION ALL ".join(parts)}),
-base AS (SELECT * FROM p WHERE kind IN ('assign', 'access', 'hex')),
+p AS MATERIALIZED (
+{_SPLIT.format(kind="assign", k=0, group=2, least=12, p='((?i:password|passwd|secret|token|api_?key))["\'\']?\\x20*[:=]\\x20*["\'\']?([A-Za-z0-9+/_.=-]+)')} UNION ALL
+{_SPLIT.format(kind="access", k=1, group=0, least=18, p="AKIA[A-Z0-9]+")} UNION ALL
+{_SPLIT.format(kind="hex", k=2, group=0, least=16, p="[0-9a-f]+")} UNION ALL
+{_SPLIT.format(kind="weak", k=3, group=0, least=20, p="[A-Za-z0-9+/_]+")} AND regexp_matches(f, '[0-9]') AND regexp_matches(f, '[A-Za-z]') UNION ALL
+{_SPLIT.format(kind="endpoint", k=4, group=0, least=8, p='https?://[A-Za-z0-9][^\\x00-\\x20"\'\'<>]*')} UNION ALL
+{_SPLIT.format(kind="name", k=5, group=2, least=3, p='(?i:client|user|account)_?(?i:id|name)(["\'\']?\\x20*[:=]\\x20*["\'\']?)([A-Za-z0-9_.@-]+)')}),
+base AS (SELECT * FROM p WHERE k < 3),
 weak AS MATERIALIZED (
-  SELECT * FROM p a WHERE kind = 'weak' AND EXISTS (SELECT 1 FROM p b WHERE b.rid = a.rid AND b.kind IN ('access', 'name') AND {near})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = a.rid AND a.start < b.stop AND b.start < a.stop)),
-s AS (SELECT * FROM base UNION ALL SELECT * FROM weak
-  UNION ALL SELECT * FROM p a WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM weak b WHERE b.rid = a.rid AND {near})),
+  SELECT * FROM p a WHERE kind = 'weak' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = a.rid AND a.start < b.stop AND b.start < a.stop)
+    AND EXISTS (SELECT 1 FROM p b WHERE b.rid = a.rid AND b.kind IN ('access', 'name', 'endpoint') AND greatest(b.start - a.stop, a.start - b.stop) BETWEEN 0 AND 240)),
+strong AS (SELECT * FROM weak UNION ALL SELECT * FROM base WHERE kind <> 'hex'),
+s AS (SELECT * FROM base UNION ALL SELECT * FROM weak UNION ALL
+  SELECT * FROM p a WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM strong b WHERE b.rid = a.rid AND greatest(b.start - a.stop, a.start - b.stop) BETWEEN 0 AND 240)),
 g AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
@@ -164,6 +173,3 @@ g AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (rid)
 """
-
-
-OP8_SQL = _sql()

@@ -2,16 +2,19 @@
 
 Search is by an inverted index on byte positions. Fingerprints that differ in at most 4 bits differ in at most
 4 of their 8 bytes, so they share at least 4 positional bytes. The index has one posting for each way to
-choose 4 positions; a pair is looked at under the first 4 positions that it shares only, which is the tally
-reaching its guaranteed minimum, and is then verified by its differing bits.
+choose 4 positions. For the pairs of a posting list the shared positional bytes are tallied; pairs that reach the
+guaranteed minimum are retained under the first 4 positions that they share, and verified by their differing bits.
 
 Equal fingerprints are one class from the start. Within a posting list only a spanning forest of the verified
-links is kept, found by sweeps over the members not yet reached; components need no more. Lists longer than
-``block`` are cut into blocks by hash, and every pair of blocks is searched by a task of its own: nothing is
-dropped, and no task holds more than two blocks.
+links is kept, found by sweeps over the members not yet reached; components need no more. Lists longer than ``block``
+are indexed once more, by the bits that are not in their key: of the 32 others, dealt over 5 parts, a pair within 4 bits
+has one part in common. What is longer still is cut into blocks by hash, and every pair of blocks is searched by a
+task of its own: nothing is dropped, and no task holds more than two blocks.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero and is linked like
-any other; repeated rows give a row each; an empty table gives an empty result; other columns are not read.
+any other; a text may be of any length, its shingles being counted as one array; repeated rows give a row each; a null id is
+not the smallest unless all ids of a component are null, whose component_id is null then; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracepath.llm.common import cut, read_table
+from tracepath.llm.common import cut, read_table, spread_join
 from tracepath.llm.components import connected_components
 
 BITS = 4
@@ -67,16 +70,26 @@ def _choices(bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(BYTES), BYTES - bits))
 
 
-def _mask(positions: tuple[int, ...]) -> int:
-    m = sum(0xFF << (8 * p) for p in positions)
+def _signed(m: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def _mask(positions: tuple[int, ...]) -> int:
+    return sum(0xFF << (8 * p) for p in positions)
+
+
+def _part_masks(positions: tuple[int, ...], parts: int) -> list[int]:
+    """The bits that are not at these positions, dealt over so many parts."""
+    others = [k for k in range(8 * BYTES) if k // 8 not in positions]
+    return [sum(1 << k for k in others[i::parts]) for i in range(parts)]
+
+
 def _first_shared(bits: int) -> np.ndarray:
-    """By the set of shared positions (as 8 bits): the number of the choice made of its first ones, or -1."""
+    """By the set of shared positions (as 8 bits): the number of the choice made of its first ones, or -1 where the tally
+    of the set is below the guaranteed minimum."""
     number = {c: i for i, c in enumerate(_choices(bits))}
     sets = ([p for p in range(BYTES) if s >> p & 1] for s in range(256))
-    return np.array([number.get(tuple(x[: BYTES - bits]), -1) for x in sets])
+    return np.array([number[tuple(x[: BYTES - bits])] if len(x) >= BYTES - bits else -1 for x in sets])
 
 
 def _shared(x: np.ndarray) -> np.ndarray:
@@ -85,6 +98,14 @@ def _shared(x: np.ndarray) -> np.ndarray:
     return np.packbits(zero, axis=1, bitorder="little").ravel()
 
 
+def retained(d: np.ndarray, choice: int | np.ndarray, first_shared: np.ndarray, bits: int) -> np.ndarray:
+    """Of pairs by their differences: which are retained by the tally under this choice and then verified."""
+    near = np.bitwise_count(d) <= bits  # the cheaper test of the two goes first; both must hold
+    if near.any():
+        near[near] = first_shared[_shared(d[near])] == (choice[near] if isinstance(choice, np.ndarray) else choice)
+    return near
+
+
 def spanning_links(fps: np.ndarray, choice: int, first_shared: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links of this posting list that fall under this choice."""
     left, out = np.unique(fps), []
@@ -92,25 +113,41 @@ def spanning_links(fps: np.ndarray, choice: int, first_shared: np.ndarray, bits:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            d = left ^ x
-            near = np.bitwise_count(d) <= bits
-            if near.any():
-                near[near] = first_shared[_shared(d[near])] == choice
-                out += [(int(x), int(y)) for y in left[near]]
-                queue += list(left[near])
-                left = left[~near]
+            near = retained(left ^ x, choice, first_shared, bits)
+            out += [(int(x), int(y)) for y in left[near]]
+            queue += list(left[near])
+            left = left[~near]
     return out
 
 
 def links(classes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """a, b: links that connect whatever fingerprints (column fp, distinct) differ in at most ``bits`` bits."""
     choices = _choices(bits)
-    postings = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(c)).cast("long")) for c in choices])).alias("c", "k"))
-    postings = postings.select("fp", F.col("c").cast("short").alias("c"), "k", F.count(F.lit(1)).over(Window.partitionBy("c", "k")).alias("n")).where("n > 1")
-    g = F.ceil(F.col("n") / block).cast("int")
-    postings = postings.select("fp", "c", "k", g.alias("g")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
-    postings = postings.select("fp", "c", "k", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
-    postings = postings.select("c", "k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
+
+    def anded(masks: list[int]) -> Column:
+        return F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])
+
+    def counted(postings: DataFrame, where: str) -> DataFrame:
+        """The lists' lengths (n) by c, k, of those that fulfil the condition."""
+        return cut(postings.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where(where))
+
+    every = classes.select("fp", F.posexplode(anded([_mask(c) for c in choices])).alias("c", "k"))
+    every = every.select("fp", F.col("c").cast("short").alias("c"), "k")
+    long = counted(every, f"n > {block}")  # fewer than 70 / block of all postings have a list so long
+    short = every
+    if not long.isEmpty():
+        short = every.join(long, ["c", "k"], "left_anti")
+        table = F.array(*[anded(_part_masks(c, bits + 1)) for c in choices])
+        again = every.join(long.select("c", "k"), ["c", "k"], "left_semi").select("fp", "c", "k", F.posexplode(F.get(table, F.col("c"))).alias("part", "bits"))
+        again = again.select("fp", "c", F.xxhash64("k", "part", "bits").alias("k"))
+        still = counted(again, f"n > {block}")
+        g = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+        again = again.join(still, ["c", "k"], "left").select("fp", "c", "k", g.alias("g")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+        again = again.select("c", "k", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"), "fp")
+        short = short.select("c", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp").union(again.select("c", "k", F.least("i", "j"), F.greatest("i", "j"), "fp"))
+    else:
+        short = short.select("c", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    postings = short
     keys = ["c", "k", "i", "j"]
     table = _first_shared(bits)
 
@@ -128,7 +165,7 @@ def links(classes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame
             sizes = np.diff(np.append(starts, n))
             two = starts[sizes == 2]  # most lists: all at once
             d = fp[two] ^ fp[two + 1]
-            ok = (np.bitwise_count(d) <= bits) & (d != 0) & (table[_shared(d)] == c[two])
+            ok = (d != 0) & retained(d, c[two], table, bits)
             a, b = [fp[two][ok]], [fp[two + 1][ok]]
             for s, z in zip(starts[sizes > 2], sizes[sizes > 2]):
                 found = spanning_links(fp[s : s + z], c[s], table, bits)
@@ -157,13 +194,13 @@ def links(classes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """doc_id, fp (signed), component_id: the least doc_id that links lead to."""
     prints = cut(fingerprints(docs, id_col, text_col, words_in_shingle))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comps = connected_components(links(classes.select("fp"), bits, block))
-    linked = comps.select(F.col("node").alias("fp"), "component").join(classes, "fp")
+    linked = cut(comps.select(F.col("node").alias("fp"), "component").join(classes, "fp"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = cut(linked.select("fp", "component").join(least, "component").select("fp", "component_id"))
-    labels = cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    linked = cut(spread_join(linked.select("fp", "component"), least, "component").select("fp", "component_id"))
+    alone = classes.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return spread_join(prints, cut(linked.union(alone)), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

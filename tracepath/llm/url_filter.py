@@ -71,12 +71,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
-OP6_SQL = r"""
-WITH u AS (
-  SELECT row_number() OVER () AS rid, page_id,
-    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
-  FROM pages),
+#: By searching strings, without patterns.
+OP6_SQL = """
+WITH a AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url FROM pages),
+b AS (SELECT rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM a),
+c AS (SELECT rid, page_id, string_split(string_split(x, '?')[1], '#')[1] AS x FROM b),
+u AS (
+  SELECT rid, page_id, translate(string_split(x, '/')[1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN contains(x, '/') THEN substr(x, strpos(x, '/')) ELSE '' END AS path
+  FROM c),
 r(v, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 m AS (
   SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
