@@ -35,11 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, most: int = 1000) -> DataFrame:
     """Rows of left with the row of right (one a key) of their key, on columns named alike. Keys on more than 1/most of
     left's rows, of which there are fewer than ``most`` however large left is, are broadcast; the rest is dealt by key, so
-    no task gets more than that part of left through one key. Both sides are read twice."""
-    counts = cut(left.groupBy(key).count())
+    no task gets more than that part of left through one key. Both sides are read twice. ``counts``: left's rows by key
+    (columns key, count), if they are at hand; keys that right has not may be missing."""
+    counts = cut(left.groupBy(key).count()) if counts is None else counts
     n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     hot = counts.where(F.col("count") > max(n // most, 1000)).select(key)
     if hot.isEmpty():
