@@ -422,3 +422,19 @@ def test_packing(spark):
         assert at <= 4096
     assert len(by_seq) == -(-sum(r["length"] for r in rows) // 4096)
     assert b.pack(b.token_pieces(d.limit(0), path)).count() == 0
+
+
+def test_components_of_random_graphs(spark, monkeypatch):
+    from tracepath.llm import components as cc
+
+    r = random.Random(13)
+    for n, m, most in ((300, 200, 10**6), (300, 280, 40), (50, 400, 8)):
+        monkeypatch.setattr(cc, "MOST_HELD", most)
+        pairs, label = [(r.randrange(n), r.randrange(n)) for _ in range(m)], list(range(n))
+        for _ in range(n):
+            for x, y in pairs:
+                label[x] = label[y] = min(label[x], label[y])
+        got = cc.connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()
+        assert {x["node"]: x["component"] for x in got} == {x: label[x] for x, y in pairs + [p[::-1] for p in pairs] if x != y}
+        u, v = cc.stars(*np.array(pairs).T)
+        assert dict(zip(v.tolist(), u.tolist())) == {i: label[i] for i in range(n) if label[i] != i}

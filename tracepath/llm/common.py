@@ -36,17 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, most: int = 1000) -> DataFrame:
-    """Rows of left with the row of right (one a key) of their key, on columns named alike. Keys on more than 1/most of
-    left's rows, of which there are fewer than ``most`` however large left is, are broadcast; the rest is dealt by key, so
-    no task gets more than that part of left through one key. Both sides are read twice. ``counts``: left's rows by key
-    (columns key, count), if they are at hand; keys that right has not may be missing."""
-    counts = cut(left.groupBy(key).count()) if counts is None else counts
-    n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("count") > max(n // most, 1000)).select(key)
-    if hot.isEmpty():
+    """Rows of left with the row of right (one a key) of their key, on columns named alike. The ``most`` commonest keys with
+    more than 1000 rows, if there are such, are broadcast with their rows of right; the rest is dealt by key, so no task gets
+    more than 1/most of left through one key. ``counts``: left's rows by key (columns key, count), if they are at hand; keys
+    that right has not may be missing."""
+    counts = left.groupBy(key).count() if counts is None else counts
+    common = counts.where("count > 1000").orderBy(F.desc("count")).limit(most).select(key).collect()  # no row of data: a bounded list of keys
+    if not common:
         return left.join(right, key)
-    rare = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
-    return rare.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), key)), key))
+    hot = F.broadcast(left.sparkSession.createDataFrame(common, left.select(key).schema))
+    rare = left.join(hot, key, "left_anti").join(right, key)
+    return rare.unionByName(left.join(F.broadcast(right.join(hot, key)), key))
 
 
 #: Blanks of one byte.

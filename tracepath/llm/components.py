@@ -1,6 +1,7 @@
 """Connected components of an edge table, without bringing edges or labels to the driver.
 
-Each round every node points to the least of itself and its neighbours, pointers are doubled until they end at nodes
+Tasks first bring the edges that they hold, a bounded number at a time, to stars about the least nodes, before and after
+edges are dealt by their larger node; what crosses tasks is left to rounds over the whole table. Each round every node points to the least of itself and its neighbours, pointers are doubled until they end at nodes
 that point to themselves, and the edges are contracted to those ends. Doubling takes the logarithm of the longest run of
 pointers, and only ends that are the least of their own neighbourhood outlive a round, so few rounds are needed. The
 minima are pre-aggregated before the shuffle; in the joins back, nodes that very many rows point to are broadcast, and no
@@ -9,12 +10,56 @@ others.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracepath.llm.common import cut, spread_join
 
 
+MOST_HELD = 4_000_000
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node that isn't the least of its component among these edges: that least node, and the node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while not np.array_equal(further := new[new], new):
+            new = further
+        if np.array_equal(new, label):
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]
+
+
+def _as_stars(edges: DataFrame) -> DataFrame:
+    """u, v with the same components, by fewer edges; u is less than v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(2)])
+            n += batch.num_rows
+            if n > MOST_HELD:
+                u, v = stars(*map(np.concatenate, zip(*held)))
+                held, n = [[u, v]], len(u)
+                if n > MOST_HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*map(np.concatenate, zip(*held)))], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def _follow(parent: DataFrame) -> DataFrame:
     """u, p with p replaced by the end of its run of pointers; ends point to themselves."""
     while True:
@@ -27,7 +72,8 @@ def _follow(parent: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node), for nodes that have an edge. Loops and repeated edges do no harm."""
-    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    e = cut(_as_stars(_as_stars(e).repartition("v")))
     labels = None
     while not e.isEmpty():
         both = e.union(e.select("v", "u"))
