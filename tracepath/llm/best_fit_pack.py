@@ -97,6 +97,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     rows.append((doc, piece, i // 4, n, zlib.crc32(part), task, seen[n]))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+        words.memory.clear()
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 

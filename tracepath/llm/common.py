@@ -116,6 +116,10 @@ class Memory:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def clear(self) -> None:
+        """Forgets all; a worker that goes on to other work shouldn't hold this."""
+        self.young, self.old = {}, {}
+
     def __call__(self, distinct: list[bytes]) -> list[bytes]:
         """The code of each of some distinct stretches."""
         codes = list(map(self.young.get, distinct))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracepath.llm.common import cut, spread_join
 
 
-MOST_HELD = 4_000_000
+MOST_HELD = 1_000_000
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from tracepath.llm.common import read_table
 SIZE = 300
 LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
-_COLLECT = 2_000_000
+_COLLECT = 500_000
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +56,14 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, parts in sorted(held.items()):
+        def add_up() -> None:
+            for lang, parts in held.items():
                 grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+                held[lang] = [(grams, np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64))]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            add_up()
+            for lang, ((grams, n),) in sorted(held.items()):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
         for batch in batches:
@@ -69,8 +73,11 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
                     held.setdefault(lang, []).append((grams, n))
                     size += len(grams)
                 if size > _COLLECT:
-                    yield from out()
-                    held, size = {}, 0
+                    add_up()
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > _COLLECT // 2:
+                        yield from out()
+                        held, size = {}, 0
         yield from out()
 
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
