@@ -63,7 +63,7 @@ class WordIds:
         other letters may change with normalisation, so the library sees those words whole."""
         words = {s: s.strip(ASCII_BLANKS) for s in stretches}
         stems = {w: w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in set(words.values())}
-        ids = self._library(sorted({*stems.values(), b".", b","}))
+        ids = self._library(list({*stems.values(), b".", b","}))
         return {s: ids[w] if stems[w] == w else ids[stems[w]] + ids[w[-1:]] for s, w in words.items()}
 
     def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -97,7 +97,6 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     rows.append((doc, piece, i // 4, n, zlib.crc32(part), task, seen[n]))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
-        words.memory.clear()
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 

@@ -255,7 +255,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             ids = pa.array([x.astype(np.int32) for x in t.encode_column(batch.column(1))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
-        t.memory.clear()
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -283,7 +282,6 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 a.append(hashlib.sha256(t.decimal(ids)).hexdigest())
                 b.append(hashlib.sha256(t.decode(ids.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        t.memory.clear()
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

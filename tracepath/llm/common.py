@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Files of finished shuffles stay on the executors' disks until the driver's JVM finds that nothing refers to them;
+    a driver with little to do may not look for hours, so ask it to."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, most: int = 1000) -> DataFrame:
     """Rows of left with the row of right (one a key) of their key, on columns named alike. The ``most`` commonest keys with
     more than 1000 rows, if there are such, are broadcast with their rows of right; the rest is dealt by key, so no task gets
@@ -107,6 +114,15 @@ def portions(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
         at = end
 
 
+_memories: weakref.WeakSet[Memory] = weakref.WeakSet()
+
+
+def release() -> None:
+    """Tasks that need no remembered stretches let go of those that earlier tasks left in their worker."""
+    for m in _memories:
+        m.clear()
+
+
 class Memory:
     """Remembers what short stretches are encoded to, in two generations of bounded size: when the younger one is full it
     becomes the older one, and what is asked for again comes back from there."""
@@ -115,9 +131,9 @@ class Memory:
         self.encode, self.most, self.longest = encode, most, longest
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        _memories.add(self)
 
     def clear(self) -> None:
-        """Forgets all; a worker that goes on to other work shouldn't hold this."""
         self.young, self.old = {}, {}
 
     def __call__(self, distinct: list[bytes]) -> list[bytes]:
@@ -125,7 +141,7 @@ class Memory:
         codes = list(map(self.young.get, distinct))
         missing = [s for s, c in zip(distinct, codes) if c is None]
         new = {s: v for s in missing if (v := self.old.get(s)) is not None}
-        new |= self.encode(sorted(s for s in missing if s not in new))
+        new |= self.encode([s for s in missing if s not in new])
         if len(self.young) + len(new) > self.most:
             self.young, self.old = {}, self.young
         self.young |= {s: v for s, v in new.items() if len(s) <= self.longest}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepath.llm.common import cut, spread_join
+from tracepath.llm.common import cut, let_go, spread_join
 
 
 MOST_HELD = 1_000_000
@@ -76,6 +76,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = cut(_as_stars(_as_stars(e).repartition("v")))
     labels = None
     while not e.isEmpty():
+        let_go(e.sparkSession)
         both = e.union(e.select("v", "u"))
         parent = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
         parent = _follow(cut(parent))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracepath.llm.common import read_table
+from tracepath.llm.common import read_table, release
 
 TABLE_BYTES = 96 << 20
 FAN_OUT = 16
@@ -155,10 +155,12 @@ def content_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["content" if first == pa.binary() else "sha256", "keep", "n", "h"][: len(kinds)])
 
     def fold_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         records = ((c.as_py(), or_none(k.as_py()), 1) for b in batches for k, c in zip(b.column(0), b.column(1)))
         yield from out(fold(records, table_bytes), lambda r: (r[0], None if r[1] == NONE else r[1], r[2], xxhash.xxh64_intdigest(r[0], 99) - (1 << 63)))
 
     def grace_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         records = ((c.as_py(), or_none(k.as_py()), n.as_py()) for b in batches for c, k, n in zip(b.column(0), b.column(1), b.column(2)))
         yield from out(grace(records, table_bytes), lambda r: (hashlib.sha256(r[0]).hexdigest(), None if r[1] == NONE else r[1], r[2]))
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracepath.llm.common import read_table
+from tracepath.llm.common import read_table, release
 
 SIZE = 300
 LETTERS = regex.compile(r"\p{L}+")
@@ -53,6 +53,7 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     """Each language's n-grams in order of rank."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
@@ -115,6 +116,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     """doc_id, carry, lang_pred, score. ``carry`` is a boolean taken along; the prediction sees the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         classify = Classifier(profiles, size)
         for batch in batches:
             found = [classify(t.as_py()) for t in batch.column(2)]
@@ -140,6 +142,7 @@ def drop_unknown(docs: DataFrame, size: int = SIZE, least: float = 0.05) -> Data
     profiles = learn(docs.where(~held_out()), size=size)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         classify = Classifier(profiles, size)
         for batch in batches:
             found = (classify(t.as_py()) for t in batch.column("text"))
