@@ -34,12 +34,12 @@ class Analysis:
 
 def refusal(question: str, origin: str | None) -> Column:
     """Over the census, has_origin, n_deciding, n_tracks, n_flows: why the question can't be answered, or null."""
-    why = F.when(~F.col("has_origin"), "the recording never names the origin under test") if origin else F.when(F.lit(False), "")
+    why = F.when(~F.col("has_origin"), "the declared origin occurs nowhere among the event arguments") if origin else F.when(F.lit(False), "")
     if question == "response":
-        why = why.when(F.col("stimuli") == 0, "nothing arrived from a person, so there is no interaction to judge")
-        why = why.when((F.col("presentations") == 0) & (F.col("stated_interactions") == 0), "the recording never states when anything reached the screen")
-    why = why.when(F.col("n_deciding") == 0, "no activity has a usable interval")
-    return why.when((F.col("n_tracks") > 1) & (F.col("n_flows") == 0), "several tracks and no flow, so no order between them was recorded")
+        why = why.when(F.col("stimuli") == 0, "zero user inputs recorded: a response needs one to start from")
+        why = why.when((F.col("presentations") == 0) & (F.col("stated_interactions") == 0), "neither frames shown nor stated latencies are recorded, so responses have no end")
+    why = why.when(F.col("n_deciding") == 0, "all intervals are empty, inferred or untrusted")
+    return why.when((F.col("n_tracks") > 1) & (F.col("n_flows") == 0), "without flow events the tracks can't be put in an order")
 
 
 def analyse_recording(r: Recording, question: str = "finish", origin: str | None = None) -> Analysis:
