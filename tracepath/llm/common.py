@@ -127,7 +127,7 @@ class Memory:
     """Remembers what short stretches are encoded to, in two generations of bounded size: when the younger one is full it
     becomes the older one, and what is asked for again comes back from there."""
 
-    def __init__(self, encode: Callable[[list[bytes]], dict[bytes, bytes]], most: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[bytes]], dict[bytes, bytes]], most: int = 150_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
