@@ -17,11 +17,13 @@ any other; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from string import ascii_letters, ascii_uppercase, punctuation
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
 from tracepath.llm.common import ASCII_BLANKS, Memory, Stretches, cut, encode_texts, read_table
 
@@ -37,34 +40,93 @@ SIZE = 4096
 END_ID = 1
 
 
+#: Small letters of ASCII and Latin-1 in UTF-8: letters that normalisation leaves alone if no other characters stand by them.
+SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+class Words(Stretches):
+    """Cuts texts into words, whose blanks are left out. The marks that end a word after a letter of ASCII or Latin-1 are a word
+    of their own, and words of such letters alone come in lower case. Other letters may change with normalisation, so
+    the words that have any stay as they are."""
+
+    def __init__(self, marks: str = ".,"):
+        super().__init__()
+        self.narrow_letter = np.isin(np.arange(256), list(ascii_letters.encode()))
+        self.large = np.isin(np.arange(256), list(ascii_uppercase.encode()))
+        self.second = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])  # of a letter that begins with C3
+        self.large_second = self.second & (np.arange(256) < 0x9F)
+        self.mark = np.isin(np.arange(256), list(marks.encode()))
+
+    def _found(self, data: np.ndarray, texts_begin: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        blank, letter = self._blank(data), self.narrow_letter[data]
+        large, c3 = self.large[data], np.flatnonzero(data[:-1] == 0xC3)
+        c3 = c3[self.second[data[c3 + 1]]]
+        letter[c3] = letter[c3 + 1] = True
+        large[c3 + 1] = self.large_second[data[c3 + 1]]
+        edge = np.append(blank, True)  # here no word goes on
+        edge[texts_begin] = True
+        begins = ~blank
+        begins[1:] &= edge[1:-1] | blank[:-1]
+        mark = self.mark[data] & ~edge[:-1]
+        after = np.flatnonzero(mark[1:] & letter[:-1]) + 1
+        others = np.append(np.flatnonzero(~mark), len(data))
+        begins[after[edge[others[np.searchsorted(others, after)]]]] = True
+        starts, dark = np.flatnonzero(begins), ~blank
+        ends = np.append(0, np.cumsum(dark))[np.append(starts, len(data))]
+        letter, large, data = letter[dark], large[dark], data[dark]
+        if len(starts):
+            plain = np.repeat(np.logical_and.reduceat(letter, ends[:-1]), np.diff(ends))
+            data = data | ((plain & large).view(np.uint8) << 5)
+        return starts, pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 class WordIds:
-    """Ids as little-endian 32-bit numbers. The tokenizer drops blanks and no token spans one, so the ids of a stretch
-    between blanks are remembered."""
+    """Ids as little-endian 32-bit numbers. The tokenizer drops blanks and no token spans one, so the ids of words are
+    remembered. Words of ``SMALL`` letters need no normalisation and no pattern to cut them: its model alone encodes
+    them, many at once, and each one's last id is of a token that ends words."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        for t in self.tokenizer.get_added_tokens_decoder().values():
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        for t in added:
             if t.lstrip or t.rstrip or t.single_word or any(c in t.content.encode() for c in ASCII_BLANKS):
                 raise ValueError(f"the token {t.content!r} depends on more than a stretch between blanks")
-        self.memory, self.stretches = Memory(self._stretches), Stretches()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        letters = [*ascii_letters, *(chr(x) for x in range(0xC0, 0x100) if x not in (0xD7, 0xF7))]
+        pairs = [a + b for a in letters for b in ["", *letters]]
+        library, plain = self._library([p.encode() for p in pairs]), self._plain([p.lower().encode() for p in pairs])
+        if any(library[p.encode()] != plain[p.lower().encode()] for p in pairs):
+            raise ValueError("the tokenizer does more to words of letters of ASCII and Latin-1 than to lower their case")
+        self.memory, self.stretches = Memory(self._words), Words("".join(c for c in punctuation if not any(c in t.content for t in added)))
 
     def _library(self, words: list[bytes]) -> dict[bytes, bytes]:
         out = {}
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
             e = self.tokenizer.encode([w.decode("utf-8", "replace") for w in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            out |= {s: ids[a:b] for s, a, b in zip(some, cuts, cuts[1:])}
+            out |= _cut_ids(some, np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)))
         return out
 
-    def _stretches(self, stretches: list[bytes]) -> dict[bytes, bytes]:
-        """A stop or comma after a letter of ASCII is a token of its own, and the word before it the same as without it;
-        other letters may change with normalisation, so the library sees those words whole."""
-        words = {s: s.strip(ASCII_BLANKS) for s in stretches}
-        stems = {w: w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in set(words.values())}
-        ids = self._library(list({*stems.values(), b".", b","}))
-        return {s: ids[w] if stems[w] == w else ids[stems[w]] + ids[w[-1:]] for s, w in words.items()}
+    def _plain(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the tokenizer's tokens don't tell where words end")
+            out |= _cut_ids(some, ids, cuts)
+        return out
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, others = [], []
+        for w in words:
+            (plain if SMALL.fullmatch(w) else others).append(w)
+        return self._plain(plain) | self._library(others)
 
     def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
         return encode_texts(texts, self.stretches, self.memory)
@@ -73,6 +135,11 @@ class WordIds:
         return next(self.encode_column(pa.array([text]))).tobytes()
 
 
+def _cut_ids(words: list[bytes], ids: np.ndarray, cuts: np.ndarray) -> dict[bytes, bytes]:
+    whole, at = ids.tobytes(), (4 * cuts).tolist()
+    return {w: whole[a:b] for w, a, b in zip(words, at, at[1:])}
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     """One a worker process."""

@@ -93,14 +93,19 @@ class Stretches:
         offsets = offsets - offsets[0]
         if not len(data):
             return np.zeros(len(offsets), np.int64), np.empty(0, np.int32), []
+        starts, found = self._found(data, offsets[:-1][np.diff(offsets) > 0])
+        found = found.dictionary_encode()
+        return np.searchsorted(starts, offsets), found.indices.to_numpy(), found.dictionary.to_pylist()
+
+    def _found(self, data: np.ndarray, texts_begin: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Where stretches start, and their contents."""
         b = self._blank(data)
         begins = np.zeros(len(data), bool)
         begins[1:] = b[1:] & ~b[:-1]
-        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        begins[texts_begin] = True
         starts = np.flatnonzero(begins)
         ends = pa.py_buffer(np.append(starts, len(data)))
-        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        return np.searchsorted(starts, offsets), found.indices.to_numpy(), found.dictionary.to_pylist()
+        return starts, pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def portions(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
