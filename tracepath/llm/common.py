@@ -42,6 +42,12 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def narrow(union: DataFrame) -> DataFrame:
+    """Without a shuffle, no more partitions than a shuffle has: a union adds up those of its parts, and in a loop that cuts
+    lineage they would double each round, with a file or two for each task."""
+    return union.coalesce(int(union.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, most: int = 1000) -> DataFrame:
     """Rows of left with the row of right (one a key) of their key, on columns named alike. The ``most`` commonest keys with
     more than 1000 rows, if there are such, are broadcast with their rows of right; the rest is dealt by key, so no task gets
@@ -53,7 +59,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame |
         return left.join(right, key)
     hot = F.broadcast(left.sparkSession.createDataFrame(common, left.select(key).schema))
     rare = left.join(hot, key, "left_anti").join(right, key)
-    return rare.unionByName(left.join(F.broadcast(right.join(hot, key)), key))
+    return narrow(rare.unionByName(left.join(F.broadcast(right.join(hot, key)), key)))
 
 
 #: Blanks of one byte.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepath.llm.common import cut, let_go, spread_join
+from tracepath.llm.common import cut, let_go, narrow, spread_join
 
 
 MOST_HELD = 1_000_000
@@ -85,7 +85,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         else:
             step = parent.select(F.col("u").alias("component"), "p")
             rest = labels.select("component").distinct().join(step, "component", "left_anti")
-            step = cut(step.union(rest.select("component", F.col("component").alias("p"))))
+            step = cut(narrow(step.union(rest.select("component", F.col("component").alias("p")))))
             labels = cut(spread_join(labels, step, "component").select("node", F.col("p").alias("component")))
         e = spread_join(e, parent, "u").select(F.col("p").alias("pu"), "v")
         e = spread_join(e, parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
