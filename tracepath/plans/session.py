@@ -23,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracepath-"))
     return df.checkpoint(eager=True)
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete the files that cut() wrote for this frame; nothing may read it afterwards. Loops forget what a round replaced, so the
+    shared folder holds one round."""
+    file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        jvm, conf = kept.sparkSession._jvm, kept.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(conf).delete(path, True)
