@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tracepath.llm.repeats import anchored_runs, merged, op13_suffix_dedup, remove_repeats
+from tracepath.llm.repeats import anchored_runs, merged, op13_suffix_dedup, remove_repeats, windows_met_twice
 from tracepath.llm.suffix_collection import Collection
 
 
@@ -76,6 +76,11 @@ def test_every_window_is_in_one_run_and_equal_windows_have_one_anchor():
     assert len(met) == sum(max(0, len(t) - 11) for t in texts)
 
 
+def test_windows_that_no_other_piece_has_are_cut_off():
+    pieces = [b"0123456789", b"xx234567yy", b"qqqqqqqqqq", b"abcdefghij"]
+    assert windows_met_twice(pieces, 5) == [(2, 4), (2, 4), (0, 6), (0, 0)]
+
+
 def test_stretches_that_meet_are_one():
     owner, b, e = merged(np.array([1, 0, 1, 1, 0]), np.array([5, 0, 0, 20, 1]), np.array([9, 9, 5, 30, 3]))
     assert list(zip(owner.tolist(), b.tolist(), e.tolist())) == [(0, 0, 9), (1, 0, 9), (1, 20, 30)]

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from tracepath.llm.common import cut, read_table, release
 from tracepath.llm.suffix_collection import Collection
 
-LENGTH, K = 100, 32
+LENGTH, K = 100, 24
 NONE = -(1 << 63)  # stands for a null id
 PIECE, CHUNK, PORTION = 1 << 16, 1 << 16, 32 << 20  # bytes: of a text, hashed at once, whose anchors are held at once
 FOLDED = 48 << 20  # bytes of pieces that a task holds to fold equal ones
-COLLECTED = 1 << 18  # symbols of a collection
+COLLECTED, WAITING = 1000, 2 << 20  # texts of a collection; bytes of pieces that wait for one
 HOT, MOST_HOT = 2048, 100_000  # texts with an anchor from which it may be dealt by windows; how many such anchors at most
 
 
@@ -117,7 +117,12 @@ def _spread(t: np.ndarray) -> np.ndarray:
     return (t.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-RUNS = "route long, anchor long, id long, t long, s int, c int, n int"
+RUNS = "route long, anchor long, id long, t long, run long"
+KNOWN, WINDOWS = 21, 22  # bits of a run: how many windows, above them whether it is known to be wanted, above that its first window + 1
+
+
+def _run(s: np.ndarray, c: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return ((s.astype(np.int64) + 1) << WINDOWS) | (known.astype(np.int64) << KNOWN) | c
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
@@ -127,8 +132,8 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 def _anchors_of(length: int, k: int):
-    """Rows of runs: an anchor met once goes where its likes go (n = 1); one met more often tells that by a row without a run
-    (n > 1), and its runs, known to be wanted (n = 0), go anywhere."""
+    """Rows of runs: an anchor met once goes where its likes go; one met more often tells that by a row without a run, whose id
+    is how often, and its runs, known to be wanted, go anywhere."""
 
     def hand_on(held: list) -> Iterator[pa.RecordBatch]:
         anchor, ident, t, s, c, again = map(np.concatenate, zip(*held))
@@ -141,10 +146,9 @@ def _anchors_of(length: int, k: int):
         once = np.repeat(n == 1, np.diff(np.append(first, len(anchor))))
         for at in range(0, len(anchor), 100_000):
             x = slice(at, at + 100_000)
-            yield _batch(RUNS, np.where(once[x], anchor[x], _spread(t[x])), anchor[x], ident[x], t[x], s[x], c[x], once[x].astype(np.int64))
+            yield _batch(RUNS, np.where(once[x], anchor[x], _spread(t[x])), anchor[x], ident[x], t[x], _run(s[x], c[x], ~once[x]))
         told = anchor[first[n > 1]]
-        none = np.zeros(len(told), np.int64)
-        yield _batch(RUNS, told, told, none, none, none - 1, none, n[n > 1])
+        yield _batch(RUNS, told, told, n[n > 1].astype(np.int64), np.zeros(len(told), np.int64), np.zeros(len(told), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -195,12 +199,17 @@ def _repeated(hot_from: int):
 
 
 def _repeated_runs(batches: Iterator[pa.RecordBatch], hot_from: int) -> Iterator[pa.RecordBatch]:
-    carried = [np.empty(0, np.int64) for _ in range(6)]
+    carried = [np.empty(0, np.int64) for _ in range(4)]
+
+    def unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (run >> WINDOWS) - 1, run & ((1 << KNOWN) - 1)
 
     def judged(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchor, ident, t, s, c, n = columns
+        anchor, ident, t, run = columns
         if not len(anchor):
             return
+        s, c = unpacked(run)
+        n = np.where(s < 0, ident, 1)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         total = np.add.reduceat(n, first)
         wanted = (np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first)) | np.logical_or.reduceat(n > 1, first)
@@ -211,10 +220,11 @@ def _repeated_runs(batches: Iterator[pa.RecordBatch], hot_from: int) -> Iterator
         yield _batch(FOUND, anchor[hot], none, none, none - 1, none, total[wanted & (total >= hot_from)])
 
     for batch in batches:
-        columns = [c.to_numpy().astype(np.int64) for c in batch.columns[1:]]
-        known = columns[5] == 0
+        columns = [c.to_numpy() for c in batch.columns[1:]]
+        known = columns[3] & (1 << KNOWN) > 0
         if known.any():
-            yield _batch(FOUND, *(x[known] for x in columns))
+            anchor, ident, t, run = (x[known] for x in columns)
+            yield _batch(FOUND, anchor, ident, t, *unpacked(run), np.zeros(len(run), np.int64))
         columns = [np.concatenate([a, x[~known]]) for a, x in zip(carried, columns)]
         ends = np.searchsorted(columns[0], columns[0][-1]) if len(columns[0]) else 0  # the last anchor may go on
         yield from judged([x[:ends] for x in columns])
@@ -260,6 +270,9 @@ class Fold:
         begin.append(place[2])
         end.append(place[2] + n)
 
+    def forget(self) -> None:
+        self.owners, self.lost = {}, ([], [], [])
+
     def stretches(self, schema: str) -> pa.RecordBatch:
         return _stretches(schema, list(self.owners), *(np.array(x, np.int64) for x in self.lost))
 
@@ -327,14 +340,20 @@ def repeats_of(pieces: list[bytes], places: list[tuple[int, int, int]], length:
     return _stretches(SPANS, owners, owner[later], begin[later], begin[later] + length)
 
 
-def _windows_met_twice(pieces: list[bytes], length: int) -> np.ndarray:
-    """Whether a piece has a window whose hash stands elsewhere in these pieces too; the others need no order."""
+def windows_met_twice(pieces: list[bytes], length: int) -> list[tuple[int, int]]:
+    """The first window of each piece whose hash stands elsewhere in these pieces too, and what is behind the last; the other windows
+    can't be repeats and need no order."""
     sizes = np.array([len(p) for p in pieces])
     ends = np.cumsum(sizes)
     n = sizes - length + 1
-    at = np.repeat(ends - sizes - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    first = np.cumsum(n) - n
+    number = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(ends - sizes, n) + number
     _, which, times = np.unique(gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), length)[at], return_inverse=True, return_counts=True)
-    return np.logical_or.reduceat(times[which] > 1, np.cumsum(n) - n)
+    twice = times[which] > 1
+    low = np.minimum.reduceat(np.where(twice, number, np.iinfo(np.int64).max), first)
+    high = np.maximum.reduceat(np.where(twice, number + 1, 0), first)
+    return list(zip(np.minimum(low, high).tolist(), high.tolist()))
 
 
 def _order_pieces(length: int):
@@ -346,23 +365,28 @@ def _order_pieces(length: int):
 
         def ordered() -> Iterator[pa.RecordBatch]:
             nonlocal waiting, starts, size
+            if fold.lost[0]:
+                yield fold.stretches(SPANS)
+                fold.forget()
+            groups = []
             if waiting:
-                wanted = _windows_met_twice([w[0] for w in waiting], length)
-                pieces, places, held = [], [], 0
+                spans = windows_met_twice([w[0] for w in waiting], length)
                 for a, b in zip(starts, [*starts[1:], len(waiting)]):
-                    if held > COLLECTED:
-                        yield from found(pieces, places)
-                        pieces, places, held = [], [], 0
-                    for i in range(a, b):
-                        if wanted[i]:
-                            pieces.append(waiting[i][0])
-                            places.append(waiting[i][1])
-                            held += len(pieces[-1])
-                yield from found(pieces, places)
+                    group = [(content[low : high + length - 1], (ident, t, s + low)) for (content, (ident, t, s)), (low, high) in zip(waiting[a:b], spans[a:b]) if high]
+                    if group:
+                        groups.append(group)
             waiting, starts, size = [], [], 0
-
-        def found(pieces: list[bytes], places: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-            if pieces and (spans := repeats_of(pieces, places, length)) is not None:
+            groups.sort(key=lambda g: max(len(content) for content, _ in g))  # texts of a collection are about as long
+            held: list = []
+            for group in groups:
+                held += group
+                if len(held) > COLLECTED:
+                    yield from found(held)
+                    held = []
+            yield from found(held)
+
+        def found(held: list) -> Iterator[pa.RecordBatch]:
+            if held and (spans := repeats_of(*map(list, zip(*held)), length)) is not None:
                 yield spans
 
         def group_ends() -> Iterator[pa.RecordBatch]:
@@ -371,9 +395,8 @@ def _order_pieces(length: int):
             for (_, content), place in fold.first.items():
                 waiting.append((content, place))
                 size += len(content)
-            if fold.lost[0]:
-                yield fold.stretches(SPANS)
-            if size > 8 * COLLECTED:
+            fold.first = {}
+            if size > WAITING:
                 yield from ordered()
 
         for batch in batches:
@@ -384,7 +407,7 @@ def _order_pieces(length: int):
             for anchor, ident, t, s, _, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 if anchor != now:
                     yield from group_ends()
-                    now, fold = anchor, Fold()
+                    now = anchor
                 fold.add(0, (ident, t, s), piece)
         yield from group_ends()
         yield from ordered()

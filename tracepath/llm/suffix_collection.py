@@ -74,7 +74,7 @@ class Collection:
             if not len(at):
                 break
             base = self.m + np.concatenate([[0, 0], np.cumsum(totals[1:])[:-1]])
-            place, shares, changed, change = self._places(files, at, base)
+            place, shares, changed, change = self._places(files, at, base, totals)
             order = np.argsort(place)
             place, text = place[order], text[order]
             before = self.columns[j][text]
@@ -83,7 +83,7 @@ class Collection:
             at, text = place[before > 0], text[before > 0]
         return files
 
-    def _places(self, files: list[Column], at: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _places(self, files: list[Column], at: np.ndarray, base: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, ...]:
         """For the suffixes at ``at``: where the suffixes one symbol longer go and what they share with the one above there; and the
         places of those suffixes that stand below one of them, with what they share now."""
         none = np.iinfo(self.kinds[1]).max
@@ -91,48 +91,46 @@ class Collection:
         least = np.full(self.symbols, none, self.kinds[1])  # since a symbol's last place; none: there is no such place
         met, newest = np.zeros(self.symbols, bool), np.zeros(self.symbols, bool)
         place, shares, changed, change = np.empty(len(at), np.int64), np.empty(len(at), self.kinds[1]), [], []
-        start = 0
+        start, size = 0, files[0].n
         for before, shared in zip(files[0].chunks(self.chunk), files[1].chunks(self.chunk)):
             n = len(before)
-            a, b = np.searchsorted(at, (start, start + n))
             new = np.zeros(n, bool)
+            a, b = np.searchsorted(at, (start, start + n))
             new[at[a:b] - start] = True
             order = np.argsort(before, kind="stable")
-            counts = np.bincount(before, minlength=self.symbols)
+            counts = totals if n == size else np.bincount(before, minlength=self.symbols)
             first = np.cumsum(counts) - counts  # of each symbol, in order
-            c = before[order]
-            is_first = np.zeros(n, bool)
-            is_first[first[counts > 0]] = True
+            there = np.flatnonzero(counts)
             current = new[order]
-            above = np.empty(n, bool)
-            above[1:] = current[:-1]
-            above[is_first] = newest[c[is_first]]
-            asked = np.flatnonzero((current | above) & (c > 0))
-            value = np.empty(len(asked), self.kinds[1])
-            from_before = is_first[asked]
-            k = asked[from_before]
-            value[from_before] = 0
+            wanted = current.copy()
+            wanted[1:] |= current[:-1]
+            wanted[first[there]] = current[first[there]] | newest[there]
+            wanted[: counts[0]] = False  # nothing stands before these
+            asked = np.flatnonzero(wanted)
+            c = before[order[asked]].astype(np.int64)
+            value = np.zeros(len(asked), self.kinds[1])
+            from_before = asked == first[c]
             if start:
+                k = c[from_before]
                 so_far = np.minimum.accumulate(shared)
-                value[from_before] = np.where(met[c[k]], np.minimum(least[c[k]], so_far[order[k]]) + 1, 0)
+                value[from_before] = np.where(met[k], np.minimum(least[k], so_far[order[asked[from_before]]]) + 1, 0)
             k = asked[~from_before]
             if len(k):
                 upper, lower = order[k - 1] + 1, order[k] + 1
-                by = np.argsort(-lower, kind="stable")  # then no stretch between two ranges is looked at
+                by = np.argsort(-lower)  # then no stretch between two ranges is looked at
                 ends = np.empty(2 * len(k), np.int64)
                 ends[::2], ends[1::2] = upper[by], lower[by]
                 found = np.empty(len(k), self.kinds[1])
                 found[by] = np.minimum.reduceat(np.append(shared, none), ends)[::2]
                 value[~from_before] = found + 1
-            to = base[c[asked]] + ranks[c[asked]] + asked - first[c[asked]]
+            to = base[c] + ranks[c] + asked - first[c]
             mine = current[asked]
             own = np.searchsorted(at, start + order[asked[mine]])
             place[own], shares[own] = to[mine], value[mine]
             changed.append(to[~mine])
             change.append(value[~mine])
             start += n
-            if start < files[0].n:  # what later chunks ask for
-                there = counts > 0
+            if start < size:  # what later chunks ask for
                 last = order[(first + counts - 1)[there]]
                 from_here = np.append(np.minimum.accumulate(shared[::-1])[::-1], none)
                 least = np.minimum(least, from_here[0])
