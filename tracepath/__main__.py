@@ -1,4 +1,4 @@
-"""python -m tracepath RECORDINGS [--for finish|response] [--origin URL] [--producer NAME] [--budget N]
+"""python -m tracepath RECORDINGS [--for finish|response] [--origin URL] [--producer NAME] [--budget N] [--maps FOLDER]
 
 Exit 2 for a wrong call or a path that can't be read; a refusal is an answer, with exit 0.
 """
@@ -21,10 +21,11 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--origin")
     p.add_argument("--producer", choices=sorted(BY_NAME), default="chrome")
     p.add_argument("--budget", type=int, default=5)
+    p.add_argument("--maps", help="a folder of source maps; findings are then placed in source")
     p.add_argument("--most", type=int, default=20, help="recordings to print")
     a = p.parse_args(args)
     try:
-        found = analyse(build_session(), a.path, a.producer, a.question, a.origin)
+        found = analyse(build_session(), a.path, a.producer, a.question, a.origin, a.maps)
         for r in found.summary.select("trace_id").union(found.refusals.select("trace_id")).distinct().orderBy("trace_id").limit(a.most).collect():
             print(report(found, r["trace_id"], a.budget))
     except Exception as e:  # a path that isn't there is only found by the engine

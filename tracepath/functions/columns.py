@@ -42,6 +42,11 @@ def origin_of(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, ORIGIN, 1), F.lit(""))
 
 
+def first_origin(subject: Column) -> Column:
+    """The first origin that a subject's fields name, or null."""
+    return F.try_element_at(F.filter(F.transform(F.split(subject, SEPARATOR), origin_of), lambda o: o.isNotNull()), F.lit(1))
+
+
 def owner_of(subject: Column, declared: str) -> Column:
     """UnderTest if the subject names the declared origin, Elsewhere if it names others only, else Unstated."""
     origins = F.filter(F.transform(F.split(subject, SEPARATOR), origin_of), lambda o: o.isNotNull())

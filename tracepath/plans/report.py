@@ -40,23 +40,32 @@ def report(analysis: Analysis, trace_id: str, budget: int = 5, most: int = 200)
         return df.where(F.col("trace_id") == trace_id).orderBy(*order).limit(most + 1).collect()
 
     if refused := rows(analysis.refusals, "because"):
-        return f"{trace_id}\nrefused: {refused[0]['because']}\n"
+        named = f"; origins named: {refused[0]['suggestions']}" if refused[0]["suggestions"] else ""
+        return f"{trace_id}\nrefused: {refused[0]['because']}{named}\n"
     (s,) = rows(analysis.summary, "steps")
     names = analysis.recording.activities.select("trace_id", "activity_id", "name", "subject")
     out = [trace_id, f"finish decided by {s['steps']} steps: {micros(s['work'])} of work, {micros(s['wait'])} of waiting; margin {'unbounded' if s['margin'] is None else micros(s['margin'])}"]
     for step in rows(analysis.steps.join(names, ["trace_id", "activity_id"]), "step")[:most]:
         out.append(f"  {'+' + micros(step['wait_before']) + ' ' if step['wait_before'] else ''}{step['name']}{described(step['subject'])} {micros(step['end'] - step['start'])}")
     for title, table in (("findings", analysis.findings), ("withheld", analysis.withheld), ("unattributed", analysis.unattributed)):
-        found = rows(table, "place")
+        found = rows(analysis.placed(table) if analysis.isolation else table, "place")
         if found:
             out.append(f"{title}:")
-            out += [f"  {sentence(f)}" for f in found[:most]]
+        for f in found[:most]:
+            out.append(f"  {sentence(f)}")
+            if analysis.isolation and f["source"]:
+                out.append(f"    in {f['source']}:{f['line']}{f', {f['depth']} calls out' if f['depth'] else ''}{'' if f['proved'] else ', by the map only'}{f': {f['text'].strip()}' if f['text'] else ''}")
     for p in rows(analysis.repair(budget), "recovered"):
         out.append(f"repair {', '.join(map(str, p['chosen']))}: recovers {micros(p['recovered'])}, trust {p['trust']:.2f}")
     out += [f"silent: {x['rule']}: {x['because']}" for x in rows(analysis.silences, "rule")]
     if analysis.responses is not None:
         for r in rows(analysis.responses, "place")[:most]:
             out.append(f"{r['kind']}: {micros(r['elapsed'])}{'' if r['exact'] else ' at least'}, {micros(r['working'])} working, {micros(r['waiting'])} waiting")
+    if analysis.isolation:
+        for p in rows(analysis.isolation.places, F.desc("cost"), "source", "line")[:most]:
+            out.append(f"{micros(p['cost'])} in {p['source']}:{p['line']}, {p['calls']} calls{'' if p['proved'] else ', by the map only'}{f', of {p['package']}' if p['package'] else ''}")
+        for n in rows(analysis.isolation.counts, "stated"):
+            out.append(f"places: {n['stated']} stated, {n['placed']} found, {n['confirmed']} confirmed; maps agree with {n['agreements']} and disagree with {n['disagreements']}")
     (c,) = rows(analysis.recording.coverage, "unread")
     out.append("coverage: " + ", ".join(f"{k} {c[k]}" for k in ("unread", "unpaired", "unbound_flows", "contradicted", "censored")))
     return "\n".join(out) + "\n"
