@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracepath.plans.session import cut, forget
+from tracepath.plans.session import cut, forget, narrow
 
 NODE = ("trace_id",)
 
@@ -30,8 +30,7 @@ def nearest_marked(nodes: DataFrame, key: tuple[str, ...] = NODE) -> DataFrame:
         moved = moving.join(beyond, [*key, "at"], "left").select(
             *key, "node", F.coalesce("further", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("stops", F.lit(True)).alias("stopped"), F.coalesce("hits", F.lit(False)).alias("hit")
         )
-        both = pointers.where("stopped").unionByName(moved)
-        both = cut(both.coalesce(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        both = cut(narrow(pointers.where("stopped").unionByName(moved)))
         forget(pointers)
         pointers = both
     hit = F.col("stopped") & F.col("hit")

@@ -6,10 +6,13 @@ call), line. A call reaches a routine only if one routine alone has that name.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracepath.plans.session import cut
+from tracepath.operators.forest import nearest_marked
+from tracepath.plans.session import cut, forget, narrow
 
 
 def call_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
@@ -17,26 +20,91 @@ def call_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return calls.join(alone.select(F.col("name").alias("callee"), F.col("symbol_id").alias("callee_id")), "callee").select("symbol_id", "callee_id", "depth", "line")
 
 
+def _composed(singles: DataFrame) -> DataFrame:
+    """singles: symbol_id, a, w, v, which say that a routine's degree is the greater of a and w + that of v, the only routine it still
+    waits for. Adds ``ends``: whether v is none of them, after such steps were put together by doubling. Steps compose to steps:
+    the greater of a and w + (the greater of b and x + ...) is the greater of (the greater of a and w + b) and w + x + ... What still
+    doesn't end goes round a cycle."""
+    state = cut(singles.join(singles.select(F.col("symbol_id").alias("v"), F.lit(False).alias("ends")), "v", "left").select("symbol_id", "a", "w", "v", F.col("ends").isNull().alias("ends")))
+    for _ in range(state.count().bit_length() + 1):
+        moving = state.where("NOT ends")
+        if moving.isEmpty():
+            break
+        beyond = state.select(F.col("symbol_id").alias("v"), F.col("a").alias("b"), F.col("w").alias("x"), F.col("v").alias("further"), F.col("ends").alias("stops"))
+        moved = moving.join(beyond, "v").select("symbol_id", F.greatest("a", F.col("w") + F.col("b")).alias("a"), (F.col("w") + F.col("x")).alias("w"), F.col("further").alias("v"), F.col("stops").alias("ends"))
+        both = cut(narrow(state.where("ends").unionByName(moved)))
+        forget(state)
+        state = both
+    return state
+
+
+def _folded(routines: DataFrame, told: DataFrame) -> DataFrame:
+    """Routines (symbol_id, a) with what their calls are now known to reach at least (symbol_id, a) taken in."""
+    return routines.unionByName(told).groupBy("symbol_id").agg(F.max("a").alias("a"))
+
+
 def degrees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """symbol_id, degree (null: unbounded, since it reaches itself or what does), through (the call that attains it, null for
-    its own loops), line. Routines settle once all that they call have; what never settles is unbounded. The rounds are
-    as many as calls are deep."""
-    edges = cut(call_edges(symbols, calls))
-    waiting = cut(symbols.select("symbol_id", F.col("own").cast("long").alias("own")))
-    settled = waiting.limit(0).select("symbol_id", F.col("own").alias("degree"), F.lit(None).cast("long").alias("through"), F.lit(None).cast("long").alias("line"))
-    while not waiting.isEmpty():
-        e = edges.join(waiting.select("symbol_id"), "symbol_id", "left_semi").join(settled.select(F.col("symbol_id").alias("callee_id"), F.col("degree").alias("reached")), "callee_id", "left")
-        best = F.max(F.struct((F.col("depth") + F.col("reached")).alias("degree"), (-F.col("line")).alias("up"), "callee_id"))
-        calls_of = e.groupBy("symbol_id").agg(F.count_if(F.col("reached").isNull()).alias("open"), best.alias("b"))
-        ready = waiting.join(calls_of, "symbol_id", "left").where("coalesce(open, 0) = 0")
-        by_call = F.coalesce(F.col("b.degree") > F.col("own"), F.lit(False))
-        ready = cut(ready.select("symbol_id", F.when(by_call, F.col("b.degree")).otherwise(F.col("own")).alias("degree"), F.when(by_call, F.col("b.callee_id")).cast("long").alias("through"), F.when(by_call, -F.col("b.up")).cast("long").alias("line")))
+    its own loops), line.
+
+    In each round the routines that wait for one other only are put together by doubling, however long a row of them is, and the
+    calls to them become calls to where the row ends; then the routines that wait for none are settled. What is left when none can be
+    settled all calls something that is left, so it reaches a cycle."""
+    known = cut(call_edges(symbols, calls))
+    waits = cut(known.groupBy("symbol_id", F.col("callee_id").alias("v")).agg(F.max("depth").cast("long").alias("w")))
+    open_ = cut(symbols.groupBy("symbol_id").agg(F.max("own").cast("long").alias("a")))
+    settled, rows = [], []
+    while True:
+        of = waits.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("w", "v")).alias("x"))
+        singles = of.where("n = 1").select("symbol_id", "x.w", "x.v").join(open_, "symbol_id").select("symbol_id", "a", "w", "v")
+        row = _composed(singles)
+        ended, circling = row.where("ends"), row.where("NOT ends").select("symbol_id")
+        if not circling.isEmpty():  # they are never settled, nor is what calls them
+            waits, open_ = cut(waits.join(circling, "symbol_id", "left_anti")), cut(open_.join(circling, "symbol_id", "left_anti"))
+        if not ended.isEmpty():
+            rows.append(ended)
+            skipped = waits.join(ended.select(F.col("symbol_id").alias("v"), F.col("a").alias("b"), F.col("w").alias("x"), F.col("v").alias("further")), "v", "left")
+            skipped = cut(skipped.join(ended.select("symbol_id"), "symbol_id", "left_anti"))
+            open_ = cut(_folded(open_.join(ended.select("symbol_id"), "symbol_id", "left_anti"), skipped.where("further IS NOT NULL").select("symbol_id", (F.col("w") + F.col("b")).alias("a"))))
+            waits = cut(skipped.groupBy("symbol_id", F.coalesce("further", "v").alias("v")).agg(F.max(F.col("w") + F.coalesce("x", F.lit(0))).alias("w")))
+        ready = cut(open_.join(waits.select("symbol_id"), "symbol_id", "left_anti"))
         if ready.isEmpty():
             break
-        settled = cut(settled.union(ready))
-        waiting = cut(waiting.join(ready.select("symbol_id"), "symbol_id", "left_anti"))
-    rest = waiting.select("symbol_id", *[F.lit(None).cast("long").alias(c) for c in ("degree", "through", "line")])
-    return settled.union(rest)
+        settled.append(ready)
+        reached = waits.join(ready.select(F.col("symbol_id").alias("v"), F.col("a").alias("d")), "v")
+        open_ = cut(_folded(open_.join(ready.select("symbol_id"), "symbol_id", "left_anti"), reached.select("symbol_id", (F.col("w") + F.col("d")).alias("a"))))
+        waits = cut(waits.join(ready.select(F.col("symbol_id").alias("v")), "v", "left_anti").select("symbol_id", "v", "w"))
+    done = reduce(DataFrame.unionByName, settled, symbols.limit(0).selectExpr("symbol_id", "CAST(own AS BIGINT) AS a"))
+    for row in reversed(rows):  # what a row's end came to be, the row is by its step
+        at_end = row.join(done.select(F.col("symbol_id").alias("v"), F.col("a").alias("d")), "v").select("symbol_id", F.greatest("a", F.col("w") + F.col("d")).alias("a"))
+        done = cut(done.unionByName(at_end))
+    best = known.join(done.select(F.col("symbol_id").alias("callee_id"), F.col("a").alias("reached")), "callee_id").groupBy("symbol_id").agg(F.max(F.struct((F.col("depth") + F.col("reached")).alias("degree"), (-F.col("line")).alias("up"), (-F.col("callee_id")).alias("least"))).alias("b"))
+    found = symbols.groupBy("symbol_id").agg(F.max("own").cast("long").alias("own")).join(done, "symbol_id", "left").join(best, "symbol_id", "left")
+    by_call = F.coalesce((F.col("b.degree") > F.col("own")) & F.col("a").isNotNull(), F.lit(False))
+    return found.select("symbol_id", F.col("a").alias("degree"), F.when(by_call, -F.col("b.least")).cast("long").alias("through"), F.when(by_call, -F.col("b.up")).cast("long").alias("line"))
+
+
+def innermost(solved: DataFrame) -> DataFrame:
+    """symbol_id, innermost, hops for bounded routines: the routine whose own loops carry the degree, and how many calls away it is."""
+    nodes = solved.where("degree IS NOT NULL").select(F.lit(0).alias("all"), F.col("symbol_id").alias("node"), F.col("through").alias("parent"), F.col("through").isNull().alias("marked"))
+    return nearest_marked(nodes, ("all",)).select(F.col("node").alias("symbol_id"), F.col("found").alias("innermost"), F.col("depth").alias("hops"))
+
+
+def chains(solved: DataFrame) -> DataFrame:
+    """symbol_id, step, at, line of bounded routines: from a routine by the calls that attain its degree to where it is written. Known
+    stretches of a chain are doubled in each round."""
+    first = cut(solved.where("degree IS NOT NULL").select("symbol_id", "through", "line"))
+    steps = cut(first.select("symbol_id", F.lit(0).cast("long").alias("step"), F.col("symbol_id").alias("at"), "line"))
+    ends = cut(first.select("symbol_id", F.col("through").alias("next")))
+    length = 1
+    while not (going := ends.where("next IS NOT NULL")).isEmpty():
+        more = going.join(steps.withColumnRenamed("symbol_id", "next"), "next").select("symbol_id", (F.col("step") + length).alias("step"), "at", "line")
+        further = going.join(ends.select(F.col("symbol_id").alias("next"), F.col("next").alias("after")), "next").select("symbol_id", F.col("after").alias("next"))
+        longer, behind = cut(narrow(steps.unionByName(more))), cut(narrow(ends.where("next IS NULL").unionByName(further)))
+        forget(steps)
+        forget(ends)
+        steps, ends, length = longer, behind, 2 * length
+    return steps
 
 
 def growth_spots(symbols: DataFrame, solved: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(union: DataFrame) -> DataFrame:
+    """As few partitions as a shuffle has. A union adds up those of its parts; in a loop that cuts lineage they would double."""
+    return union.coalesce(int(union.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def forget(kept: DataFrame) -> None:
     """Delete the files that cut() wrote for this frame; nothing may read it afterwards. Loops forget what a round replaced, so the
     shared folder holds one round."""
