@@ -54,6 +54,42 @@ def test_plan_is_the_best():
             assert frees == best == sum(retained[v] for v in chosen) and len(chosen) <= budget and margin >= 0
 
 
+def literal(children, root, retained, budget):
+    """By the definition: best[v][k] and who is cut, the first of equals in the order in which shares are tried."""
+
+    def solve(v, k):
+        spread = [(0, [])] * (k + 1)
+        for c in children[v]:
+            new = []
+            for j in range(k + 1):
+                options = [(spread[j - give][0] + solve(c, give)[0], spread[j - give][1] + solve(c, give)[1]) for give in range(j + 1)]
+                new.append(max(options, key=lambda o: o[0]))
+            spread = new
+        if v != root and k and retained[v] > spread[k][0]:
+            return retained[v], [v]
+        return spread[k]
+
+    return sorted(solve(root, budget)[1])
+
+
+def test_ties_go_to_what_is_below_and_to_earlier_children():
+    assert h.best_cuts([[1], [2], []], 0, [5, 5, 5], 1)[0] == [2]
+    assert h.best_cuts([[1, 2], [], []], 0, [0, 4, 4], 1)[0] == [1]
+    assert h.best_cuts([[1], []], 0, [0, 0], 3) == ([], 0, 0)
+    r = random.Random(3)
+    for _ in range(80):
+        n = r.randint(1, 7)
+        children = [[] for _ in range(n)]
+        for v in range(1, n):
+            children[r.randrange(v)].append(v)
+        retained = [r.choice([0, 0, 1, 2]) for _ in range(n)]
+        for v in range(n - 1, 0, -1):
+            for c in children[v]:
+                retained[v] += retained[c]
+        for budget in range(4):
+            assert sorted(h.best_cuts(children, 0, retained, budget)[0]) == literal(children, 0, retained, budget)
+
+
 def test_hold(spark):
     c = spark.createDataFrame([("r", "app", 1, True), ("r", "a", 10, False), ("r", "b", 5, False), ("r", "shared", 7, False), ("r", "lost", 3, False)], "repo_id string, component string, weight long, owned boolean")
     d = spark.createDataFrame([("r", "app", "a"), ("r", "app", "b"), ("r", "a", "shared"), ("r", "b", "shared"), ("r", "b", "absent")], "repo_id string, source string, target string")

@@ -62,7 +62,7 @@ def dominators(n: int, entry: int, out: list[list[int]]) -> tuple[list[int], lis
 
 
 def _solve(comps: pd.DataFrame, decl: pd.DataFrame, entry: str):
-    comps = comps.drop_duplicates("component", keep="first").reset_index(drop=True)
+    comps = comps.drop_duplicates("component", keep="first").sort_values("component").reset_index(drop=True)
     number = {c: i for i, c in enumerate(comps["component"])}
     out: list[list[int]] = [[] for _ in number]
     for s, t in sorted(set(zip(decl["source"], decl["target"]))):
@@ -90,62 +90,53 @@ def hold(components: DataFrame, declares: DataFrame, entry: str) -> DataFrame:
 
 def best_cuts(children: list[list[int]], root: int, retained: list[int], budget: int) -> tuple[list[int], int, int]:
     """The nodes to cut, at most ``budget`` and none inside another, that free the most; what they free; and what one more
-    would add. best[v][k] is the most that k cuts free in v's subtree: v itself, or a share-out among its children."""
-    best: dict[int, list[int]] = {}
-    shares: dict[int, list[list[int]]] = {}
-    todo = [(root, False)]
+    would add. Ties: cuts below a node are kept unless cutting the node itself frees more, and of shares that free as much a later
+    child gets the smaller one."""
+    width = budget + 2  # 0 cuts to one more than allowed
+    cuts = np.arange(width)
+    left = cuts[:, None] - cuts[None, :]  # what is left of a row's cuts when a column's are given to a child
+    best: dict[int, np.ndarray] = {}
+    gives: dict[int, list[np.ndarray]] = {}
+    whole: dict[int, np.ndarray] = {}
+    below, todo = [], [root]
     while todo:
-        v, ready = todo.pop()
-        if not ready:
-            todo.append((v, True))
-            todo += [(c, False) for c in children[v]]
-            continue
-        total, shares[v] = [0], []
+        v = todo.pop()
+        below.append(v)
+        todo += children[v]
+    for v in reversed(below):
+        spread, gives[v] = np.zeros(width, np.int64), []
         for c in children[v]:
-            width = min(len(total) + len(best[c]) - 1, budget + 2)
-            merged, share = [-1] * width, [0] * width
-            for k, have in enumerate(total):
-                for give, more in enumerate(best[c][: width - k]):
-                    if have + more > merged[k + give]:
-                        merged[k + give], share[k + give] = have + more, give
-            for k in range(1, width):
-                if merged[k] < merged[k - 1]:
-                    merged[k], share[k] = merged[k - 1], share[k - 1]
-            total = merged
-            shares[v].append(share)
-        if v != root:
-            if len(total) == 1:
-                total = [0, 0]
-            total = [total[0], *(max(t, retained[v]) for t in total[1:])]
-        best[v] = total
-
-    def value(v: int, k: int) -> int:
-        return best[v][min(k, len(best[v]) - 1)]
-
+            if not best[c][-1]:  # nothing to free there
+                gives[v].append(np.zeros(width, np.int64))
+                continue
+            shared = np.where(left >= 0, spread[left] + best[c][None, :], -1)
+            give = shared.argmax(axis=1)  # the first of equals
+            spread = shared[cuts, give]
+            gives[v].append(give)
+        whole[v] = (retained[v] > spread) & (cuts > 0) & (v != root)
+        best[v] = np.where(whole[v], retained[v], spread)
     chosen, todo = [], [(root, budget)]
     while todo:
         v, k = todo.pop()
-        if k <= 0 or not value(v, k):
-            continue
-        spread = list(shares[v])
-        if v != root and retained[v] == value(v, k):
+        if whole[v][k]:
             chosen.append(v)
             continue
-        for c, share in zip(reversed(children[v]), reversed(spread)):
-            k = min(k, len(share) - 1)
-            todo.append((c, share[k]))
-            k -= share[k]
-    return chosen, value(root, budget), value(root, budget + 1) - value(root, budget)
+        for c, give in zip(reversed(children[v]), reversed(gives[v])):
+            todo.append((c, int(give[k])))
+            k -= int(give[k])
+    return chosen, int(best[root][budget]), int(best[root][budget + 1] - best[root][budget])
 
 
 def removal_plan(components: DataFrame, declares: DataFrame, entry: str, budget: int) -> DataFrame:
-    """The components whose removal frees the most, at most ``budget`` of a repository."""
+    """The components whose removal frees the most, at most ``budget`` of a repository; components of one holder are taken in the order
+    of their names."""
 
     def one(comps: pd.DataFrame, decl: pd.DataFrame) -> pd.DataFrame:
         comps, idom, order, retained = _solve(comps, decl, entry)
         children: list[list[int]] = [[] for _ in idom]
-        for node in order[1:]:
-            children[idom[node]].append(node)
+        for node, up in enumerate(idom):
+            if up >= 0 and node != order[0]:
+                children[up].append(node)
         chosen, frees, margin = best_cuts(children, order[0], retained, budget) if order else ([], 0, 0)
         names = comps["component"]
         return pd.DataFrame({"repo_id": [comps["repo_id"].iloc[0]] * len(chosen), "component": [names[i] for i in chosen], "frees": [retained[i] for i in chosen], "plan_frees": [frees] * len(chosen), "margin": [margin] * len(chosen)})

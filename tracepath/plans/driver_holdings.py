@@ -54,13 +54,36 @@ p AS MATERIALIZED (SELECT repo_id, part, CAST(sum(weight) AS BIGINT) AS weight F
 d AS MATERIALIZED (
   SELECT repo_id, part, p.weight, CASE WHEN count(DISTINCT ord) = 1 THEN min(ord) WHEN count(DISTINCT customer) = 1 THEN min(customer) ELSE 'root' END AS up
   FROM l JOIN p USING (repo_id, part) WHERE told GROUP BY 1, 2, 3)"""
+_HELD = f"""{_REPOS},
+oo AS MATERIALIZED (SELECT o.repo_id, o.ord, o.customer, CAST(coalesce(sum(d.weight), 0) AS BIGINT) AS retained FROM o LEFT JOIN d ON d.repo_id = o.repo_id AND d.up = o.ord WHERE told GROUP BY 1, 2, 3),
+cc AS MATERIALIZED (
+  SELECT c.repo_id, c.customer, CAST(coalesce((SELECT sum(retained) FROM oo WHERE oo.repo_id = c.repo_id AND oo.customer = c.customer), 0) + coalesce((SELECT sum(weight) FROM d WHERE d.repo_id = c.repo_id AND d.up = c.customer), 0) AS BIGINT) AS retained
+  FROM (SELECT DISTINCT repo_id, customer FROM o) c)"""
+#: Tables of what 0 to 6 cuts free and which they are, shared out among children in the order of their names.
+_EMPTY = "[{'v': 0::BIGINT, 's': []::VARCHAR[]} for i in range(7)]"
+_SHARED = f"""list_reduce(list_prepend({_EMPTY}, list(best ORDER BY comp)), lambda acc, c: list_transform(range(7), lambda k: struct_pack(
+  v := list_max(list_transform(range(k + 1), lambda g: {{'v': acc[k - g + 1].v + c[g + 1].v, 'g': -g}})).v,
+  s := list_max(list_transform(range(k + 1), lambda g: {{'v': acc[k - g + 1].v + c[g + 1].v, 'g': -g, 's': list_concat(acc[k - g + 1].s, c[g + 1].s)}})).s)))"""
+
+
+def _cut(retained: str, comp: str, spread: str) -> str:
+    return f"list_transform(range(7), lambda k: CASE WHEN k > 0 AND {retained} > {spread}[k + 1].v THEN struct_pack(v := {retained}, s := [{comp}]) ELSE {spread}[k + 1] END)"
+
+
+_PLAN = f"""{_HELD},
+parts AS MATERIALIZED (SELECT repo_id, part AS comp, up, {_cut("weight", "part", _EMPTY)} AS best FROM d),
+spread1 AS MATERIALIZED (SELECT repo_id, up, {_SHARED} AS best FROM parts WHERE up[1] = 'o' GROUP BY 1, 2),
+orders1 AS MATERIALIZED (SELECT repo_id, ord AS comp, customer AS up, {_cut("retained", "ord", "b")} AS best FROM (SELECT oo.*, coalesce(x.best, {_EMPTY}) AS b FROM oo LEFT JOIN spread1 x ON x.repo_id = oo.repo_id AND x.up = oo.ord)),
+spread2 AS MATERIALIZED (SELECT repo_id, up, {_SHARED} AS best FROM (SELECT * FROM orders1 UNION ALL SELECT * FROM parts WHERE up[1] = 'c') GROUP BY 1, 2),
+customers1 AS MATERIALIZED (SELECT repo_id, customer AS comp, 'root' AS up, {_cut("retained", "customer", "b")} AS best FROM (SELECT cc.*, coalesce(x.best, {_EMPTY}) AS b FROM cc LEFT JOIN spread2 x ON x.repo_id = cc.repo_id AND x.up = cc.customer)),
+whole AS MATERIALIZED (SELECT repo_id, {_SHARED} AS best FROM (SELECT * FROM customers1 UNION ALL SELECT * FROM parts WHERE up = 'root') GROUP BY 1),
+held AS MATERIALIZED (SELECT repo_id, part AS comp, weight AS frees FROM d UNION ALL SELECT repo_id, ord, retained FROM oo UNION ALL SELECT repo_id, customer, retained FROM cc)"""
 SQL = {
+    "removal_plan": f"""
+WITH {_PLAN}
+SELECT w.repo_id, x.comp AS component, held.frees, best[6].v AS plan_frees, best[7].v - best[6].v AS margin FROM whole w, unnest(w.best[6].s) AS x(comp) JOIN held ON held.repo_id = w.repo_id AND held.comp = x.comp""",
     "retained_weight": f"""
-WITH {_REPOS},
-oo AS (SELECT o.repo_id, o.ord, o.customer, CAST(coalesce(sum(d.weight), 0) AS BIGINT) AS retained FROM o LEFT JOIN d ON d.repo_id = o.repo_id AND d.up = o.ord WHERE told GROUP BY 1, 2, 3),
-cc AS (
-  SELECT c.repo_id, c.customer, CAST(coalesce((SELECT sum(retained) FROM oo WHERE oo.repo_id = c.repo_id AND oo.customer = c.customer), 0) + coalesce((SELECT sum(weight) FROM d WHERE d.repo_id = c.repo_id AND d.up = c.customer), 0) AS BIGINT) AS retained
-  FROM (SELECT DISTINCT repo_id, customer FROM o) c)
+WITH {_HELD}
 SELECT repo_id, part AS component, up AS dominator, weight AS retained FROM d
 UNION ALL SELECT repo_id, ord, customer, retained FROM oo
 UNION ALL SELECT repo_id, customer, 'root', retained FROM cc

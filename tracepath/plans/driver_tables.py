@@ -157,7 +157,8 @@ def findings(spark, d):
 def repair_choice(spark, d):
     s = Solved(spark, d)
     found = rules.choose_repairs(rules.rank_findings(s.findings()), s.margin, 3)
-    return found.select("trace_id", F.array_join("chosen", ",").alias("chosen"), "recovered", "trust")
+    spans = F.array_join(F.transform("support", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return found.select("trace_id", F.array_join("chosen", ",").alias("chosen"), "recovered", "trust", spans.alias("support"), "unweighable", "because")
 
 
 def idle_gaps(spark, d):
@@ -322,10 +323,10 @@ bo AS (SELECT trace_id, step, arg_max(activity_id, (overlap, -activity_id)) AS a
 fl AS MATERIALIZED (SELECT trace_id, activity_id, CAST(sum(overlap) AS BIGINT) AS evidence, count(*) AS "count" FROM bo GROUP BY 1, 2),
 bad AS (SELECT trace_id FROM ue WHERE NOT forward),
 f AS (
-  SELECT trace_id, 'repeated work' AS rule, 1 AS o, row_number() OVER (PARTITION BY trace_id ORDER BY first, activity_id) AS seq, activity_id, cost, cost AS evidence, span_end > span_start AS spans FROM rw
-  UNION ALL SELECT trace_id, 'dead wait', 2, step, activity_id, wait_before, wait_before, true FROM dw
-  UNION ALL SELECT trace_id, 'off-path dominance', 3, 0, activity_id, 0, evidence, false FROM op WHERE trace_id NOT IN (SELECT trace_id FROM bad)
-  UNION ALL SELECT trace_id, 'in flight while waiting', 4, row_number() OVER (PARTITION BY trace_id ORDER BY evidence DESC, activity_id), activity_id, 0, evidence, false FROM fl),
+  SELECT trace_id, 'repeated work' AS rule, 1 AS o, row_number() OVER (PARTITION BY trace_id ORDER BY first, activity_id) AS seq, activity_id, cost, cost AS evidence, span_end > span_start AS spans, span_start, span_end FROM rw
+  UNION ALL SELECT trace_id, 'dead wait', 2, step, activity_id, wait_before, wait_before, true, "start" - wait_before, "start" FROM dw
+  UNION ALL SELECT trace_id, 'off-path dominance', 3, 0, activity_id, 0, evidence, false, NULL, NULL FROM op WHERE trace_id NOT IN (SELECT trace_id FROM bad)
+  UNION ALL SELECT trace_id, 'in flight while waiting', 4, row_number() OVER (PARTITION BY trace_id ORDER BY evidence DESC, activity_id), activity_id, 0, evidence, false, NULL, NULL FROM fl),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY cost DESC, evidence DESC, o, seq) - 1 AS place FROM f)"""
 _M = """
 m AS (SELECT trace_id, tid, 'u' || tid AS scope, activity_id AS pos, name AS category, "start" AS moment, subject[3:] AS k, name AS t FROM a),
@@ -361,11 +362,15 @@ SQL: dict[str, str] = {
     "off_path": _with(*_SOLVED, select="SELECT trace_id, activity_id, evidence, room FROM op"),
     "in_flight": _with(*_SOLVED, select='SELECT trace_id, activity_id, evidence, "count" FROM fl'),
     "findings": _with(*_SOLVED, select="SELECT trace_id, place, rule, activity_id, cost, evidence FROM ranked"),
-    "repair_choice": _with(*_SOLVED, select="""
-      SELECT trace_id, string_agg(place::VARCHAR, ',' ORDER BY place) AS chosen, CAST(coalesce(least(sum(cost), max(margin)), sum(cost)) AS BIGINT) AS recovered, 1.0::DOUBLE AS trust
-      FROM (SELECT r.*, margin, row_number() OVER w AS k, coalesce(sum(cost) OVER (PARTITION BY trace_id ORDER BY cost DESC, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-        FROM ranked r LEFT JOIN margins USING (trace_id) WHERE cost > 0 AND spans WINDOW w AS (PARTITION BY trace_id ORDER BY cost DESC, place))
-      WHERE k <= 3 AND (margin IS NULL OR before < margin) GROUP BY 1"""),
+    "repair_choice": _with(*_SOLVED, select=f"""
+      SELECT m.trace_id, CASE WHEN n > 0 THEN coalesce(chosen, '') END AS chosen, CASE WHEN n > 0 THEN coalesce(recovered, 0) END AS recovered, trust, CASE WHEN n > 0 THEN coalesce(support, '') END AS support,
+        0::BIGINT AS unweighable, CASE WHEN coalesce(n, 0) = 0 THEN '{rules.NO_COST}' END AS because
+      FROM margins m LEFT JOIN (SELECT trace_id, count(*) AS n FROM ranked WHERE cost > 0 GROUP BY 1) c USING (trace_id) LEFT JOIN (
+        SELECT trace_id, string_agg(place::VARCHAR, ',' ORDER BY place) AS chosen, CAST(coalesce(least(sum(cost), max(margin)), sum(cost)) AS BIGINT) AS recovered, 1.0::DOUBLE AS trust,
+          string_agg(span_start || '-' || span_end, ',' ORDER BY span_start, span_end) AS support
+        FROM (SELECT r.*, margin, row_number() OVER w AS k, coalesce(sum(cost) OVER (PARTITION BY trace_id ORDER BY cost DESC, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM ranked r LEFT JOIN margins USING (trace_id) WHERE cost > 0 AND spans WINDOW w AS (PARTITION BY trace_id ORDER BY cost DESC, place))
+        WHERE k <= 3 AND (margin IS NULL OR before < margin) GROUP BY 1) x USING (trace_id)"""),
     "idle_gaps": _with(_A, select="""
       SELECT activity_id, opened, closes, NOT EXISTS (SELECT 1 FROM a WHERE a.trace_id = g.trace_id AND a."end" > a."start" AND a."start" < g.closes AND a."end" > g.opened) AS idle
       FROM (SELECT trace_id, activity_id, lag("end") OVER (PARTITION BY trace_id, tid ORDER BY "start", "end" DESC, activity_id) AS opened, "start" AS closes FROM a) g WHERE closes > opened"""),

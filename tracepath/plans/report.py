@@ -56,7 +56,8 @@ def report(analysis: Analysis, trace_id: str, budget: int = 5, most: int = 200)
             if analysis.isolation and f["source"]:
                 out.append(f"    in {f['source']}:{f['line']}{f', {f['depth']} calls out' if f['depth'] else ''}{'' if f['proved'] else ', by the map only'}{f': {f['text'].strip()}' if f['text'] else ''}")
     for p in rows(analysis.repair(budget), "recovered"):
-        out.append(f"repair {', '.join(map(str, p['chosen']))}: recovers {micros(p['recovered'])}, trust {p['trust']:.2f}")
+        told = f"recovers {micros(p['recovered'])}" + (f", trust {p['trust']:.2f}" if p["trust"] is not None else "") if p["because"] is None else p["because"]
+        out.append(f"repair {', '.join(map(str, p['chosen'] or [])) or 'nothing'}: {told}" + (f"; {p['unweighable']} costs can't be weighed" if p["unweighable"] else ""))
     out += [f"silent: {x['rule']}: {x['because']}" for x in rows(analysis.silences, "rule")]
     if analysis.responses is not None:
         for r in rows(analysis.responses, "place")[:most]:
