@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracepath.functions.columns import SEPARATOR
+from tracepath.operators.scan import scan
 
 
 def mark_groups(marks: DataFrame) -> DataFrame:
@@ -64,6 +65,5 @@ def first_after(moments: DataFrame, presentations: DataFrame) -> DataFrame:
     """Adds ``deadline`` to moments (trace_id, key, at): the first presentation strictly after each, or null."""
     p = presentations.select("trace_id", "at", F.lit(0).alias("side"), F.lit(None).cast("long").alias("key"), F.col("at").alias("shown"))
     m = moments.select("trace_id", "at", F.lit(1).alias("side"), "key", F.lit(None).cast("long").alias("shown"))
-    w = Window.partitionBy("trace_id").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
-    both = p.unionByName(m).withColumn("deadline", F.min("shown").over(w)).where("side = 1")
+    both = scan(p.unionByName(m), ("trace_id",), [F.desc("at"), F.desc("side")], deadline=("min", F.col("shown"))).where("side = 1")
     return moments.join(both.select("trace_id", "key", "deadline"), ["trace_id", "key"], "left")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracepath.functions import columns as C
+from tracepath.operators.scan import scan
 
 TRACK = ("trace_id", "pid", "tid")
 
@@ -23,8 +24,8 @@ def track_window() -> Window:
 
 def track_order(activities: DataFrame) -> DataFrame:
     """Adds ``place``, from 0, and ``furthest``, the running maximum of end."""
-    w = track_window()
-    return activities.withColumns({"place": (F.row_number().over(w) - 1).cast("long"), "furthest": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    out = scan(activities, TRACK, [F.col("start"), F.desc("end"), F.col("activity_id")], place=("sum", F.lit(1).cast("long")), furthest=("max", F.col("end")))
+    return out.withColumn("place", F.col("place") - 1)
 
 
 SWEPT = "trace_id string, activity_id long, open_parent long, inside long, parent long, serial_from long"
