@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +31,37 @@ PHRASES: tuple[tuple[str, str], ...] = (("under the mit license", "mit"), ("apac
 
 @dataclass(frozen=True)
 class Notice:
+    """``words`` tell it from other licences and must be there (None: those of its label); with one of ``spoils`` it is another."""
+
     label: str
     text: str
     edits: int
+    words: tuple[str, ...] | None = None
+    spoils: tuple[str, ...] = ()
 
 
 NOTICES: tuple[Notice, ...] = (
     Notice("mit", "released under the mit license", 3),
-    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", 8),
+    Notice("mit-0", "released under the mit 0 license", 3),
+    Notice("mit", " spdx license identifier mit ", 2),
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", 8, ("this", "software"), ("font", "fonts")),
     Notice("apache-2", "licensed under the apache license version 2", 4),
+    Notice("apache-2", " apache license 2 0 ", 2),
+    Notice("apache-2", " apache 2 0 ", 0),
     Notice("cc-by-nc", "licensed under cc by nc", 2),
+    Notice("cc-by-nc-sa", " cc by nc sa ", 1),
+    Notice("cc-by-nc-nd", " cc by nc nd ", 1),
     Notice("cc-by-sa", "licensed under cc by sa", 2),
     Notice("cc-by-nd", "licensed under cc by nd", 2),
     Notice("cc0", "cc0 1 0 universal public domain dedication", 3),
     Notice("gpl-3", "gnu general public license version 3", 3),
     Notice("gpl-2", "gnu general public license version 2", 3),
+    Notice("gpl-3", " gnu general public license v3 ", 2, ("v3",)),
+    Notice("gpl-2", " gnu general public license v2 ", 2, ("v2",)),
+    Notice("gpl-3", " gnu gpl version 3 ", 1),
+    Notice("gpl-2", " gnu gpl version 2 ", 1),
+    Notice("gpl-3", " gnu gpl v3 ", 0),
+    Notice("gpl-2", " gnu gpl v2 ", 0),
     Notice("lgpl-3", "gnu lesser general public license version 3", 3),
     Notice("lgpl-2", "gnu lesser general public license version 2", 3),
     Notice("agpl-3", "gnu affero general public license version 3", 3),
@@ -53,7 +70,7 @@ NOTICES: tuple[Notice, ...] = (
     Notice("bsl-1", "boost software license version 1", 3),
     Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 8),
     Notice("bsd", "released under the bsd license", 3),
-    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 7),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that", 9, ("with", "or", "without", "fee", "provided"), ("documentation",)),
     Notice("isc", "released under the isc license", 3),
     Notice("unlicense", "this is free and unencumbered software released into the public domain", 6),
 )
@@ -65,14 +82,17 @@ CORES: tuple[Notice, ...] = (
     Notice("cc-by-nc", "cc by nc", 1),
 )
 
-#: What tells a notice from others: words that must all be there, and words that stand there in other licences. Notices
-#: of a label that have none of its words, being long texts of their own, need nothing told.
+#: What tells a notice from others: words that must all be there, and words that stand there in other licences. Long texts of their
+#: own either have such words themselves or need nothing told.
 _NAMES = ("mit", "bsd", "isc", "gpl", "lgpl", "agpl", "mpl", "zlib")
 _GNU = ("lesser", "affero", "library")
 TELLING: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    **{x: ((x,), tuple(y for y in _NAMES if y != x)) for x in ("mit", "bsd", "isc")},
+    "mit": (("mit",), ("0", *_NAMES[1:])),
+    "mit-0": (("mit", "0"), _NAMES[1:]),
+    **{x: ((x,), tuple(y for y in _NAMES if y != x)) for x in ("bsd", "isc")},
     "apache-2": (("2",), ()),
     **{f"cc-by-{x}": ((x,), tuple(y for y in ("nc", "nd", "sa") if y != x)) for x in ("nc", "nd", "sa")},
+    **{f"cc-by-nc-{x}": (("nc", x), tuple(y for y in ("nd", "sa") if y != x)) for x in ("nd", "sa")},
     "cc0": (("cc0",), ()),
     **{f"gpl-{n}": ((n,), _GNU) for n in "23"},
     **{f"lgpl-{n}": (("lesser", n), _GNU[1:]) for n in "23"},
@@ -107,26 +127,37 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+VOWELS = frozenset("aeiouy")
+
+
 def tells(s: bytes, n: Notice, start: int, end: int) -> bool:
-    """Whether the words at this place have each of the notice's telling words: a number as it is; a word as it is, be it
-    split or joined to its neighbours, or with one edit and nearer to it than to the words of other licences."""
-    words, rivals = TELLING.get(n.label, ((), ()))
+    """Whether the words at this place have each of the notice's telling words, and none that makes it another licence. A number stands
+    as it is; a word as it is, or with spaces moved between it and its neighbours; or, if it is short, with one edit that leaves no
+    vowel (no word of a language, so not another word), and if it is longer, with one edit; but not if that is nearer to another
+    licence's word."""
+    by_label, rivals = TELLING.get(n.label, ((), ()))
     own = n.text.split()
+    words = by_label if n.words is None else n.words
     words = [w for w in words if w in own]
-    if not words:
-        return True
     while start < end and s[start] == 0x20:
         start += 1
     while end > start and s[end - 1] == 0x20:
         end -= 1
     here = s[s.rfind(b" ", 0, start) + 1 : max(s.find(b" ", end), end)].decode("utf-8", "replace").split()
     rest = [w for w in here if w not in own]
+    if any(w in n.spoils for w in rest) or words and n.words is None and any(w in rivals for w in rest):
+        return False
     for word in words:
-        if word not in here and (
-            word.isdigit() or any(w in rivals for w in rest) or not (word in "".join(rest) or any(distance(w, word) == 1 and all(distance(w, x) > 1 for x in rivals) for w in rest))
-        ):
+        if word in here:
+            continue
+        k = own.index(word)
+        moved = "".join(own[:k])[-2:] + word + "".join(own[k + 1 :])[:2]
+        if moved in "".join(here) and word.isalpha():
+            continue
+        edited = [w for w in rest if distance(w, word) == 1 and all(distance(w, x) > 1 for x in rivals)]
+        if not word.isalpha() or not any(len(word) > 3 or not VOWELS & set(w) for w in edited):
             return False
-    return not (own[0] == "gnu" and any(w in rivals for w in rest))
+    return True
 
 
 class Scanner:
@@ -135,26 +166,32 @@ class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES, phrases: tuple[tuple[str, str], ...] = PHRASES, cores: tuple[Notice, ...] = CORES):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
         self.notices, self.cores = [], []
+        seeds: dict[bytes, list[tuple[Notice, int]]] = {}
         for forms, n in [*((self.notices, n) for n in notices), *((self.cores, n) for n in cores)]:
             p = n.text.encode()
-            forms.append((n, pieces(p, n.edits), len(p), regex.compile(rb"(?b)(?:" + regex.escape(p, special_only=True) + rb"){e<=%d}" % n.edits)))
-
-    def windows(self, s: bytes, seeds: list[tuple[int, bytes]], length: int, edits: int) -> list[tuple[int, int]]:
-        """Stretches of s, one for each place that a seed gives to a candidate."""
-        found = set()
-        for at, piece in seeds:
-            i = s.find(piece)
-            while i >= 0:
-                found.add((max(0, i - at - edits), min(len(s), i - at + length + 2 * edits)))
-                i = s.find(piece, i + 1)
-        return sorted(found)
-
-    def search(self, s: bytes, forms: list) -> list[tuple[Notice, int, int, int]]:
+            forms.append((n, regex.compile(rb"(?b)(?:" + regex.escape(p, special_only=True) + rb"){e<=%d}" % n.edits)))
+            for at, piece in pieces(p, n.edits):
+                seeds.setdefault(piece, []).append((n, at + len(piece) - 1))
+        self.seeds = ahocorasick.Automaton()
+        for piece, whose in seeds.items():
+            self.seeds.add_word(piece.decode("latin-1"), whose)
+        self.seeds.make_automaton()
+
+    def windows(self, s: bytes) -> dict[Notice, set[tuple[int, int]]]:
+        """Stretches of s, one for each place that a seed gives to a candidate, by one pass for the seeds of all notices."""
+        found: dict[Notice, set[tuple[int, int]]] = {}
+        for end, whose in self.seeds.iter(s.decode("latin-1")):
+            for n, behind in whose:
+                start = end - behind
+                found.setdefault(n, set()).add((max(0, start - n.edits), min(len(s), start + len(n.text) + 2 * n.edits)))
+        return found
+
+    def search(self, s: bytes, forms: list, windows: dict | None = None) -> list[tuple[Notice, int, int, int]]:
         """notice, start, end, edits of the matches of each form; of those of a form that overlap the best, then the first."""
         out = []
-        for n, seeds, length, pattern in forms:
-            # All pieces of a notice are as rare as its rarest words, so texts without any end here.
-            found = {(sum(m.fuzzy_counts), *m.span()) for a, b in self.windows(s, seeds, length, n.edits) if (m := pattern.search(s, a, b))}
+        windows = self.windows(s) if windows is None else windows
+        for n, pattern in forms:
+            found = {(sum(m.fuzzy_counts), *m.span()) for a, b in sorted(windows.get(n, ())) if (m := pattern.search(s, a, b))}
             taken: list[tuple[int, int]] = []
             for e, i, j in sorted(found):
                 k = bisect_left(taken, (i, j))
@@ -179,8 +216,9 @@ class Scanner:
 
     def near(self, s: bytes) -> list[tuple[Notice, int, int, int]]:
         """The verified notices, and the edited base phrases that stand in none of them, if their telling word is there."""
-        whole = [x for x in self.search(s, self.notices) if tells(s, *x[:3])]
-        for n, i, j, e in self.search(s, self.cores):
+        windows = self.windows(s)
+        whole = [x for x in self.search(s, self.notices, windows) if tells(s, *x[:3])]
+        for n, i, j, e in self.search(s, self.cores, windows):
             if e and tells(s, n, i, j) and not any(m.label == n.label and a < j and i < b for m, a, b, _ in whole):
                 whole.append((n, i, j, e))
         return whole
