@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracepath.operators import holdings
+from tracepath.operators import holdings, reach
+from tracepath.sources import packages
 
 REPOS = 64
 ENTRY = "root"
@@ -45,7 +46,23 @@ def removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holdings.removal_plan(*repositories(spark, sf_dir), ENTRY, 5)
 
 
-QUERIES = {f.__name__: f for f in (retained_weight, unreachable, removal_plan)}
+def entries_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third customer is an entry, and so is the root."""
+    components, declares = repositories(spark, sf_dir)
+    third = F.substring("component", 2, 19).try_cast("long") % 3 == 0
+    entries = components.where((F.col("component") == ENTRY) | F.col("component").startswith("c") & third)
+    return reach.entries_reaching(reach.reached_from(declares, entries))
+
+
+def repository_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part in ten is declared and not there."""
+    components, declares = repositories(spark, sf_dir)
+    lost = F.col("target").startswith("p") & (F.substring("target", 2, 19).try_cast("long") % 10 == 0)
+    there = components.join(declares.where(lost).select("repo_id", F.col("target").alias("component")), ["repo_id", "component"], "left_anti")
+    return packages.census(there, declares.where(~lost), declares.where(lost).select("repo_id", "source", F.col("target").alias("need")))
+
+
+QUERIES = {f.__name__: f for f in (retained_weight, unreachable, removal_plan, entries_reaching, repository_census)}
 
 _REPOS = f"""
 o AS MATERIALIZED (SELECT 'r' || (o_custkey % {REPOS}) AS repo_id, 'c' || o_custkey AS customer, 'o' || o_orderkey AS ord, o_orderkey, o_orderstatus <> 'P' AS told FROM orders),
@@ -78,7 +95,27 @@ spread2 AS MATERIALIZED (SELECT repo_id, up, {_SHARED} AS best FROM (SELECT * FR
 customers1 AS MATERIALIZED (SELECT repo_id, customer AS comp, 'root' AS up, {_cut("retained", "customer", "b")} AS best FROM (SELECT cc.*, coalesce(x.best, {_EMPTY}) AS b FROM cc LEFT JOIN spread2 x ON x.repo_id = cc.repo_id AND x.up = cc.customer)),
 whole AS MATERIALIZED (SELECT repo_id, {_SHARED} AS best FROM (SELECT * FROM customers1 UNION ALL SELECT * FROM parts WHERE up = 'root') GROUP BY 1),
 held AS MATERIALIZED (SELECT repo_id, part AS comp, weight AS frees FROM d UNION ALL SELECT repo_id, ord, retained FROM oo UNION ALL SELECT repo_id, customer, retained FROM cc)"""
+_ENTRIES = f"""{_REPOS},
+c AS MATERIALIZED (SELECT DISTINCT repo_id, customer FROM o),
+ent AS MATERIALIZED (SELECT repo_id, customer FROM c WHERE customer[2:]::BIGINT % 3 = 0),
+hits AS (
+  SELECT repo_id, customer AS component, customer AS entry FROM ent UNION SELECT o.repo_id, ord, ent.customer FROM o JOIN ent USING (repo_id, customer) WHERE told
+  UNION SELECT l.repo_id, part, ent.customer FROM l JOIN ent USING (repo_id, customer) WHERE told
+  UNION SELECT repo_id, 'root', 'root' FROM c UNION SELECT repo_id, customer, 'root' FROM c UNION SELECT repo_id, ord, 'root' FROM o WHERE told UNION SELECT repo_id, part, 'root' FROM l WHERE told)"""
 SQL = {
+    "entries_reaching": f"WITH {_ENTRIES} SELECT repo_id, component, count(*) AS entries FROM hits GROUP BY 1, 2",
+    "repository_census": f"""
+WITH {_REPOS},
+gone AS (SELECT repo_id, part FROM p WHERE part[2:]::BIGINT % 10 = 0),
+dl AS MATERIALIZED (
+  SELECT DISTINCT repo_id, 'root' AS source, customer AS target FROM o UNION SELECT repo_id, customer, ord FROM o WHERE told UNION SELECT repo_id, ord, part FROM l),
+n AS (SELECT repo_id, count(*) FILTER (NOT lost) AS declared, count(*) FILTER (lost) AS missing FROM (SELECT *, target[1] = 'p' AND target[2:]::BIGINT % 10 = 0 AS lost FROM dl) GROUP BY 1),
+ok AS (SELECT * FROM p WHERE part[2:]::BIGINT % 10 <> 0),
+lost AS (
+  SELECT repo_id, count(*) AS k, CAST(coalesce(sum(weight), 0) AS BIGINT) AS w FROM (
+    SELECT repo_id, 0::BIGINT AS weight FROM o WHERE NOT told UNION ALL SELECT repo_id, weight FROM ok WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.repo_id = ok.repo_id AND l.part = ok.part AND told)) GROUP BY 1)
+SELECT n.repo_id, declared, missing, declared / (declared + missing) AS confidence, CAST(coalesce((SELECT sum(weight) FROM ok WHERE ok.repo_id = n.repo_id), 0) AS BIGINT) AS installed, coalesce(k, 0) AS undeclared, coalesce(w, 0) AS undeclared_weight
+FROM n LEFT JOIN lost USING (repo_id)""",
     "removal_plan": f"""
 WITH {_PLAN}
 SELECT w.repo_id, x.comp AS component, held.frees, best[6].v AS plan_frees, best[7].v - best[6].v AS margin FROM whole w, unnest(w.best[6].s) AS x(comp) JOIN held ON held.repo_id = w.repo_id AND held.comp = x.comp""",
