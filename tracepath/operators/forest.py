@@ -37,6 +37,22 @@ def nearest_marked(nodes: DataFrame, key: tuple[str, ...] = NODE) -> DataFrame:
     return pointers.select(*key, "node", F.when(hit, F.col("at")).alias("found"), F.when(hit, F.col("depth")).alias("depth"))
 
 
+def runs(starts: DataFrame, pointers: DataFrame, key: tuple[str, ...] = NODE) -> DataFrame:
+    """key, first, k, node: the nodes from each start (key, first) on along pointers (key, node, next) that have no cycle. What is
+    written of a run doubles in each round; runs that nobody asks for are not written."""
+    found = cut(starts.select(*key, "first", F.lit(0).cast("long").alias("k"), F.col("first").alias("node")).distinct())
+    jump, length = cut(pointers.where("next IS NOT NULL").select(*key, "node", "next")), 1
+    while True:
+        more = cut(found.join(jump, [*key, "node"]).select(*key, "first", (F.col("k") + length).alias("k"), F.col("next").alias("node")))
+        if more.isEmpty():
+            return found
+        both = cut(narrow(found.unionByName(more)))
+        further = cut(jump.join(jump.select(*key, F.col("node").alias("next"), F.col("next").alias("after")), [*key, "next"]).select(*key, "node", F.col("after").alias("next")))
+        for old in (found, more, jump):
+            forget(old)
+        found, jump, length = both, further, 2 * length
+
+
 def tour(nodes: DataFrame, key: tuple[str, ...], opened: str) -> DataFrame:
     """Adds ``open`` and ``close``: the node's place, from 0, among its key's nodes by ``opened``, and the last place in its subtree. A
     parent comes before its children there, and a subtree's nodes are together, as blocks are in the order of their opening."""

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracepath.operators.forest import nearest_marked
+from tracepath.operators.forest import nearest_marked, runs
 from tracepath.plans.session import cut, forget, narrow
 
 
@@ -91,20 +91,10 @@ def innermost(solved: DataFrame) -> DataFrame:
 
 
 def chains(solved: DataFrame) -> DataFrame:
-    """symbol_id, step, at, line of bounded routines: from a routine by the calls that attain its degree to where it is written. Known
-    stretches of a chain are doubled in each round."""
-    first = cut(solved.where("degree IS NOT NULL").select("symbol_id", "through", "line"))
-    steps = cut(first.select("symbol_id", F.lit(0).cast("long").alias("step"), F.col("symbol_id").alias("at"), "line"))
-    ends = cut(first.select("symbol_id", F.col("through").alias("next")))
-    length = 1
-    while not (going := ends.where("next IS NOT NULL")).isEmpty():
-        more = going.join(steps.withColumnRenamed("symbol_id", "next"), "next").select("symbol_id", (F.col("step") + length).alias("step"), "at", "line")
-        further = going.join(ends.select(F.col("symbol_id").alias("next"), F.col("next").alias("after")), "next").select("symbol_id", F.col("after").alias("next"))
-        longer, behind = cut(narrow(steps.unionByName(more))), cut(narrow(ends.where("next IS NULL").unionByName(further)))
-        forget(steps)
-        forget(ends)
-        steps, ends, length = longer, behind, 2 * length
-    return steps
+    """symbol_id, step, at, line of bounded routines: from a routine by the calls that attain its degree to where it is written."""
+    bounded = cut(solved.where("degree IS NOT NULL").select(F.lit(0).alias("all"), F.col("symbol_id").alias("node"), F.col("through").alias("next"), "line"))
+    steps = runs(bounded.select("all", F.col("node").alias("first")), bounded, ("all",))
+    return steps.join(bounded.select("node", "line"), "node").select(F.col("first").alias("symbol_id"), F.col("k").alias("step"), F.col("node").alias("at"), "line")
 
 
 def growth_spots(symbols: DataFrame, solved: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracepath.functions import columns as C
 from tracepath.operators import marks
+from tracepath.operators.forest import runs
 from tracepath.plans.session import cut
 
 TAILS = "trace_id string, activity_id long, tail long, goes_to long"
@@ -56,21 +57,9 @@ def tails(activities: DataFrame, links: DataFrame, presentations: DataFrame) ->
 
 def decode(starts: DataFrame, t: DataFrame) -> DataFrame:
     """Adds ``chain`` to starts (trace_id, first): the run from there. Only runs that are asked for are written out."""
-    wanted = starts.select("trace_id", F.col("first").alias("activity_id")).distinct().join(t.select("trace_id", "activity_id", "deadline"), ["trace_id", "activity_id"])
-
-    def walk(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        goes = {i: int(n) for i, n in zip(known["activity_id"], known["goes_to"]) if not pd.isna(n)}
-        chains = []
-        for first in asked["activity_id"]:
-            chain = [first]
-            while (n := goes.get(chain[-1])) is not None:
-                chain.append(n)
-            chains.append(chain)
-        return pd.DataFrame({"trace_id": asked["trace_id"].tolist(), "first": asked["activity_id"].tolist(), "chain": chains})
-
-    keys = ("trace_id", "deadline")
-    runs = wanted.groupBy(*keys).cogroup(_apart(t.select(*keys, "activity_id", "goes_to")).groupBy(*keys)).applyInPandas(walk, "trace_id string, first long, chain array<long>")
-    return starts.join(runs, ["trace_id", "first"], "left").withColumn("chain", F.coalesce("chain", F.array("first")))
+    steps = runs(starts.select("trace_id", "first"), t.select("trace_id", F.col("activity_id").alias("node"), F.col("goes_to").alias("next")))
+    chains = steps.groupBy("trace_id", "first").agg(F.array_sort(F.collect_list(F.struct("k", "node"))).alias("chain"))
+    return starts.join(chains.withColumn("chain", F.transform("chain", lambda x: x["node"])), ["trace_id", "first"])
 
 
 def responses(activities: DataFrame, links: DataFrame, presentations: DataFrame, arrivals: DataFrame, envelopes: DataFrame) -> DataFrame:
