@@ -54,6 +54,16 @@ def test_nothing_and_far_times():
         raised(np.array([0, 1 << 61]), np.array([0, 3]), none, none, none)
 
 
+def test_many_rows_of_long_work():
+    """A hundred thousand rows of works of years: what a row adds up to has no room 100,000 times in 64 bits."""
+    rows, long = 100_000, 10**14
+    start = np.concatenate([np.zeros(rows, np.int64), np.full(rows, 2 * long)])
+    ids = np.arange(2 * rows)
+    links = np.concatenate([ids[:rows], ids[: rows - 1]]), np.concatenate([ids[rows:], ids[rows + 1 :]])
+    out = solve_arrays(start, start + long, ids, *links)
+    assert (out["head"][rows:] == 3 * long).all() and (out["latest"][:rows] == 2 * long).all() and out["step"].count() == 2
+
+
 @pytest.mark.parametrize("hops", [1, 2])
 def test_a_million_in_a_row_and_links_to_and_fro(hops):
     n = 1_000_000
