@@ -3,6 +3,8 @@
 import random
 import sys
 
+from pyspark.sql import functions as F
+
 from tracepath.operators import growth as g
 
 SYMBOLS, CALLS = "symbol_id long, name string, own long", "symbol_id long, callee string, depth long, line long"
@@ -88,3 +90,21 @@ def test_a_long_row_of_calls_and_a_long_cycle_settle_in_few_rounds(spark, monkey
 
 def test_no_routines(spark):
     assert g.degrees(spark.createDataFrame([], SYMBOLS), spark.createDataFrame([], CALLS)).collect() == []
+
+
+def test_kept_frames_start_with_a_size_of_their_own(spark):
+    """Each round joins what the last one kept with itself; an estimate carried along would have as many digits as there are rows."""
+    from tracepath.plans.session import cut
+
+    kept = cut(spark.range(10).withColumnRenamed("id", "node"))
+    for _ in range(9):
+        kept = cut(kept.join(kept.withColumnRenamed("node", "other"), kept["node"] == F.col("other")).select("node"))
+    assert kept.count() == 10 and len(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40
+
+
+def test_layers_of_callers_are_put_aside(spark):
+    symbols = spark.createDataFrame([(i, f"f{i}", i % 3) for i in range(31)], SYMBOLS)
+    calls = spark.createDataFrame([(i, f"f{i // 2}", i % 2, 1) for i in range(1, 31)], CALLS).where("symbol_id <> 1")
+    waits = g.call_edges(symbols, calls).selectExpr("symbol_id", "callee_id AS v", "depth AS w", "0L AS own")
+    left, layers = g._peeled(waits)
+    assert len(layers) == 4 and sum(x.count() for x in layers) == 29 and left.isEmpty()

@@ -43,16 +43,55 @@ def _folded(routines: DataFrame, told: DataFrame) -> DataFrame:
     return routines.unionByName(told).groupBy("symbol_id").agg(F.max("a").alias("a"))
 
 
+def _peeled(waits: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """waits (symbol_id, v, w, own) of routines that are called themselves, and those of the others in layers: nothing left calls a
+    layer's routines, so they can be settled after all else. Layers are taken as long as they hold an eighth of what is left, so that
+    they are few and all of them together read a small multiple of the calls."""
+    layers, left, n = [], waits, waits.count()
+    while n:
+        called = left.select(F.col("v").alias("symbol_id"), F.lit(True).alias("inner")).distinct()
+        told = cut(left.join(called, "symbol_id", "left").select("symbol_id", "v", "w", "own", F.coalesce("inner", F.lit(False)).alias("inner")))
+        m = told.where("inner").count()
+        if 8 * (n - m) < n:
+            forget(told)
+            break
+        layers.append(told.where("NOT inner").drop("inner"))
+        left, n = told.where("inner").drop("inner"), m
+    return left, layers
+
+
 def degrees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """symbol_id, degree (null: unbounded, since it reaches itself or what does), through (the call that attains it, null for
     its own loops), line.
 
+    Routines that nobody left calls are put aside in layers, and settled from the innermost layer out once the rest is known."""
+    known = cut(call_edges(symbols, calls))
+    own = cut(symbols.groupBy("symbol_id").agg(F.max("own").cast("long").alias("own")))
+    waits = cut(known.groupBy("symbol_id", F.col("callee_id").alias("v")).agg(F.max("depth").cast("long").alias("w")).join(own, "symbol_id").select("symbol_id", "v", "w", "own"))
+    left, layers = _peeled(waits)
+    aside = reduce(DataFrame.unionByName, [x.select("symbol_id") for x in layers], symbols.limit(0).select("symbol_id"))
+    core = cut(own.withColumnRenamed("own", "a").join(aside, "symbol_id", "left_anti"))
+    done = _settled(core, cut(narrow(left.select("symbol_id", "v", "w"))))
+    for layer in reversed(layers):  # routines that wait for something unsettled stay so themselves
+        at = layer.join(done.select(F.col("symbol_id").alias("v"), F.col("a").alias("d")), "v", "left")
+        told = at.groupBy("symbol_id").agg(F.greatest(F.max("own"), F.max(F.col("w") + F.col("d"))).alias("a"), (F.count("d") < F.count(F.lit(1))).alias("lost")).where("NOT lost").select("symbol_id", "a")
+        both = cut(narrow(done.unionByName(told)))
+        forget(done)
+        done = both
+    best = known.join(done.select(F.col("symbol_id").alias("callee_id"), F.col("a").alias("reached")), "callee_id").groupBy("symbol_id").agg(F.max(F.struct((F.col("depth") + F.col("reached")).alias("degree"), (-F.col("line")).alias("up"), (-F.col("callee_id")).alias("least"))).alias("b"))
+    found = own.join(done, "symbol_id", "left").join(best, "symbol_id", "left")
+    by_call = F.coalesce((F.col("b.degree") > F.col("own")) & F.col("a").isNotNull(), F.lit(False))
+    return found.select("symbol_id", F.col("a").alias("degree"), F.when(by_call, -F.col("b.least")).cast("long").alias("through"), F.when(by_call, -F.col("b.up")).cast("long").alias("line"))
+
+
+def _settled(open_: DataFrame, waits: DataFrame) -> DataFrame:
+    """symbol_id, a (the degree) of the bounded ones among routines (symbol_id, a: of its own loops) that wait (symbol_id, v, w) for
+    each other only.
+
     In each round the routines that wait for one other only are put together by doubling, however long a row of them is, and the
     calls to them become calls to where the row ends; then the routines that wait for none are settled. What is left when none can be
     settled all calls something that is left, so it reaches a cycle."""
-    known = cut(call_edges(symbols, calls))
-    waits = cut(known.groupBy("symbol_id", F.col("callee_id").alias("v")).agg(F.max("depth").cast("long").alias("w")))
-    open_ = cut(symbols.groupBy("symbol_id").agg(F.max("own").cast("long").alias("a")))
+    none = open_.limit(0)
     settled, rows = [], []
     while True:
         of = waits.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("w", "v")).alias("x"))
@@ -74,14 +113,13 @@ def degrees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
         reached = waits.join(ready.select(F.col("symbol_id").alias("v"), F.col("a").alias("d")), "v")
         open_ = cut(_folded(open_.join(ready.select("symbol_id"), "symbol_id", "left_anti"), reached.select("symbol_id", (F.col("w") + F.col("d")).alias("a"))))
         waits = cut(waits.join(ready.select(F.col("symbol_id").alias("v")), "v", "left_anti").select("symbol_id", "v", "w"))
-    done = reduce(DataFrame.unionByName, settled, symbols.limit(0).selectExpr("symbol_id", "CAST(own AS BIGINT) AS a"))
+    done = cut(narrow(reduce(DataFrame.unionByName, settled, none)))
     for row in reversed(rows):  # what a row's end came to be, the row is by its step
         at_end = row.join(done.select(F.col("symbol_id").alias("v"), F.col("a").alias("d")), "v").select("symbol_id", F.greatest("a", F.col("w") + F.col("d")).alias("a"))
-        done = cut(done.unionByName(at_end))
-    best = known.join(done.select(F.col("symbol_id").alias("callee_id"), F.col("a").alias("reached")), "callee_id").groupBy("symbol_id").agg(F.max(F.struct((F.col("depth") + F.col("reached")).alias("degree"), (-F.col("line")).alias("up"), (-F.col("callee_id")).alias("least"))).alias("b"))
-    found = symbols.groupBy("symbol_id").agg(F.max("own").cast("long").alias("own")).join(done, "symbol_id", "left").join(best, "symbol_id", "left")
-    by_call = F.coalesce((F.col("b.degree") > F.col("own")) & F.col("a").isNotNull(), F.lit(False))
-    return found.select("symbol_id", F.col("a").alias("degree"), F.when(by_call, -F.col("b.least")).cast("long").alias("through"), F.when(by_call, -F.col("b.up")).cast("long").alias("line"))
+        both = cut(narrow(done.unionByName(at_end)))
+        forget(done)
+        done = both
+    return done
 
 
 def innermost(solved: DataFrame) -> DataFrame:
