@@ -6,6 +6,7 @@ one deadline, so deadlines are independent problems and (recording, deadline) is
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,46 @@ def tails(activities: DataFrame, links: DataFrame, presentations: DataFrame) ->
     return solved.join(due, ["trace_id", "activity_id"])
 
 
+SEEDS = "trace_id string, arrival_id long, seed long, tail long, start long"
+
+
+def best_inside(windows: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
+    """For each window (arrival_id, began, presented) the work (seed, start, end, tail) that lies inside it and has the longest tail, of
+    equals the first to start, then the lowest id. Works come in from the last start back; a tree over their ends holds
+    the best up to each end, so neither windows nor works meet one by one."""
+    if windows.empty:
+        works = works.iloc[:0]
+    seed, start, end, tail = (works[c].to_numpy(np.int64) for c in ("seed", "start", "end", "tail"))
+    began, presented = (windows[c].to_numpy(np.int64) for c in ("began", "presented"))
+    ranked = np.lexsort((-seed, -start, tail))
+    rank = np.empty(len(seed), np.int64)
+    rank[ranked] = np.arange(len(seed))
+    ends = np.unique(end)
+    place, upto = (np.searchsorted(ends, end) + 1).tolist(), np.searchsorted(ends, presented, side="right").tolist()
+    last_first = np.argsort(-start, kind="stable")
+    asked = np.argsort(-began, kind="stable")
+    known = np.searchsorted(-start[last_first], -began[asked], side="right").tolist()  # works that start no sooner
+    order, ranks, size = last_first.tolist(), rank.tolist(), len(ends)
+    tree, best, i = [-1] * (size + 1), np.full(len(began), -1), 0
+    for q, n in zip(asked.tolist(), known):
+        while i < n:
+            k, r = place[order[i]], ranks[order[i]]
+            while k <= size:
+                if tree[k] < r:
+                    tree[k] = r
+                k += k & -k
+            i += 1
+        k, r = upto[q], -1
+        while k:
+            if tree[k] > r:
+                r = tree[k]
+            k &= k - 1
+        best[q] = r
+    hit = best >= 0
+    of = ranked[best[hit]]
+    return pd.DataFrame({"trace_id": pd.Series(windows["trace_id"].array[hit].tolist(), dtype=object), "arrival_id": windows["arrival_id"].to_numpy(np.int64)[hit], "seed": seed[of], "tail": tail[of], "start": start[of]})
+
+
 def decode(starts: DataFrame, t: DataFrame) -> DataFrame:
     """Adds ``chain`` to starts (trace_id, first): the run from there. Only runs that are asked for are written out."""
     steps = runs(starts.select("trace_id", "first"), t.select("trace_id", F.col("activity_id").alias("node"), F.col("goes_to").alias("next")))
@@ -76,7 +117,8 @@ def responses(activities: DataFrame, links: DataFrame, presentations: DataFrame,
     width = stated.groupBy("trace_id").agg((F.max(F.col("presented") - F.col("began")) + 1).alias("width"))
     stated = stated.join(width, "trace_id").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("began") / F.col("width")), F.floor(F.col("presented") / F.col("width"))))).drop("width")
     inside = inside.join(width, "trace_id").withColumn("bucket", F.floor(F.col("start") / F.col("width"))).drop("width")
-    seeds = stated.join(inside, ["trace_id", "bucket"]).where("start >= began AND start < presented AND `end` <= presented")
+    at = ["trace_id", "bucket"]
+    seeds = _apart(stated).groupBy(*at).cogroup(_apart(inside).groupBy(*at)).applyInPandas(best_inside, SEEDS)
     seeds = seeds.groupBy("trace_id", "arrival_id").agg(F.max_by("seed", F.struct("tail", -F.col("start"), -F.col("seed"))).alias("seed"))
     a = a.join(seeds, ["trace_id", "arrival_id"], "left").withColumn("first", F.coalesce("seed", "activity_id"))
     a = decode(a, t)
