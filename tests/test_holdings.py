@@ -97,3 +97,33 @@ def test_hold(spark):
     assert {k: v["retained"] for k, v in held.items()} == {"app": 23, "a": 10, "b": 5, "shared": 7, "lost": 0}
     assert [x["component"] for x in h.unreachable(h.hold(c, d, "app")).collect()] == ["lost"]
     assert {x["component"] for x in h.removal_plan(c, d, "app", 2).collect()} == {"a", "shared"}
+
+
+def test_no_repository_is_one_group(spark):
+    """Dominators, weights and plans of random graphs, cycles and absent components included, against one graph at a time."""
+    r = random.Random(5)
+    comps, decls, want, plans, lost = [], [], set(), set(), set()
+    for g, (n, out, weight) in enumerate(graphs()):
+        weight = [w if r.random() < 0.6 else 0 for w in weight]
+        repo, name = f"r{g}", [f"n{i}" for i in range(n)]
+        comps += [(repo, name[i], weight[i], False) for i in range(n)]
+        decls += [(repo, name[i], name[t]) for i in range(n) for t in out[i]] + [(repo, "n0", "absent")]
+        idom, order = h.dominators(n, 0, out)
+        retained = [w if d >= 0 else 0 for w, d in zip(weight, idom)]
+        for v in reversed(order[1:]):
+            retained[idom[v]] += retained[v]
+        want |= {(repo, name[i], d >= 0, name[d] if d >= 0 and i else None, retained[i]) for i, d in enumerate(idom)}
+        lost |= {(repo, name[i]) for i, d in enumerate(idom) if d < 0}
+        if n - 1 not in reach(n, out, 0):
+            decls.append((repo, "absent", name[-1]))
+        kids = [sorted(v for v in order[1:] if idom[v] == i) for i in range(n)]
+        chosen, frees, margin = h.best_cuts(kids, 0, retained, 2)
+        plans |= {(repo, name[i], retained[i], frees, margin) for i in chosen}
+    c = spark.createDataFrame(comps, "repo_id string, component string, weight long, owned boolean")
+    d = spark.createDataFrame(decls, "repo_id string, source string, target string")
+    held = h.hold(c, d, "n0")
+    assert {(x["repo_id"], x["component"], x["reachable"], x["dominator"], x["retained"]) for x in held.collect()} == want
+    assert {(x["repo_id"], x["component"]) for x in h.unreachable(h.reachable(c, d, "n0")).collect()} == lost
+    assert {tuple(x) for x in h.removal_plan(c, d, "n0", 2).collect()} == plans
+    for frame in (held, h.reachable(c, d, "n0"), h.removal_plan(c, d, "n0", 2)):  # groups are of pruned plans at most
+        assert "FlatMapCoGroupsInPandas" not in frame._jdf.queryExecution().toString()
