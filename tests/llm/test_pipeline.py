@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tracepath.llm import near_copies as nc
+from tracepath.llm.simhash_dedup import fingerprint
 
 
 def corpus(spark):
@@ -107,3 +108,16 @@ def test_null_and_repeated_ids(spark):
     assert left(p.secret_scan(spark, spoken, "")) == sorted(((i, t + " [secret]", s) for i, t, s in rows), key=str)
     packed = p.best_fit_pack(spark, docs, "").groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in packed} == {None: 4, 7: 4, 9: 2}
+
+
+def test_simhash_gives_candidates_of_its_own(spark):
+    """No further fingerprint is shared here: only differing bits join texts, up to four, also through others."""
+    rows = [(0, 0b0, [1]), (1, 0b1111, [2]), (2, 0b11111111, [3]), (3, 0b11111 << 40, [4]), (4, 1 << 62, [5]), (5, 1 << 62, [6])]
+    classes = spark.createDataFrame(rows, "node long, fp long, keys array<long>")
+    groups = {}
+    for r in nc._candidates(classes).collect():
+        groups.setdefault(r["component"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 4, 5]]
+    text = " ".join(f"some{i % 97} word{i % 89} here{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    assert sorted(r["fp"] for r in nc._classes(docs).collect()) == sorted([0, int(np.uint64(fingerprint(text, 5)).astype(np.int64))])

@@ -38,23 +38,31 @@ BYTES = 8
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, words_in_shingle: int = 4, seed: int = 42) -> int:
+def shingle_hashes(text: str | None, words_in_shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The hash of each shingle, repeats included; of the whole sequence if it has fewer words; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII blanks
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
-    if len(words) <= words_in_shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    first, last = (ends - lengths)[: 1 - words_in_shingle].tolist(), ends[words_in_shingle - 1 :].tolist()
+    n = min(words_in_shingle, len(words))
+    first, last = (ends - lengths)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(first, last)], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(first, last)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes: a bit is 1 if it is set in over half of them."""
     places = h.view(np.uint8).reshape(-1, BYTES).astype(np.int64) + 256 * np.arange(BYTES)
     counts = np.bincount(places.ravel(), minlength=256 * BYTES).reshape(BYTES, 256) @ _BIT_OF_BYTE
     return int.from_bytes(np.packbits(counts * 2 > len(h), axis=1, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words_in_shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, words_in_shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 
@@ -133,7 +141,10 @@ def links(classes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame
 
     every = classes.select("fp", F.posexplode(anded([_mask(c) for c in choices])).alias("c", "k"))
     every = every.select("fp", F.col("c").cast("short").alias("c"), "k")
-    long = counted(every, f"n > {block}")  # fewer than 70 / block of all postings have a list so long
+    # Lists are told apart in full only where a bucket of many short ones is as long.
+    buckets = F.pmod(F.xxhash64("k"), F.lit(max(4096, classes.count() // 256))).alias("bucket")
+    full = cut(every.groupBy("c", buckets).agg(F.count(F.lit(1)).alias("n")).where(f"n > {block}").select("c", "bucket"))
+    long = counted(every.select("*", buckets).join(full, ["c", "bucket"], "left_semi"), f"n > {block}")  # fewer than 70 / block of all postings have a list so long
     short = every
     if not long.isEmpty():
         short = every.join(long, ["c", "k"], "left_anti")
