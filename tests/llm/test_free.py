@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -21,6 +22,7 @@ from tracepath.llm import exact_dedup as e
 from tracepath.llm import language_id as l
 from tracepath.llm import license_scan as ls
 from tracepath.llm import simhash_dedup as sd
+from tracepath.llm.common import Memory, encode_texts, portions
 from tracepath.llm.components import connected_components
 
 DOCS = "doc_id long, text string, fp long, component string"
@@ -363,6 +365,20 @@ def test_tokens_of_documents(spark):
     assert bb.digest_documents(d.limit(0), path).count() == 0
 
 
+def test_words_are_cut_in_bounded_memory():
+    """Workers of the pipeline's last stage shared an executor of 3000 MB with what they hold while they cut and remember words."""
+    words = [f"w{i:x}" for i in range(3000)]
+    texts = pa.array([" ".join(words)] * 400)  # 5.5 MB of text in one batch
+    assert max(s.nbytes for s in portions(texts)) < 1.1 * (1 << 20)
+    assert sum(len(s) for s in portions(texts)) == len(texts)
+    stretches, memory = b.Words(), Memory(lambda some: {w: w[:1].ljust(4, b"\0") for w in some})
+    tracemalloc.start()
+    assert sum(map(len, encode_texts(texts, stretches, memory))) == 3000 * 400
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+
 def test_word_ids_are_the_library_s():
     path = P.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), b.word_ids(path)

@@ -114,8 +114,8 @@ class Stretches:
         return starts, pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def portions(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
-    """Slices of whole texts of about so many bytes; a longer text is a slice of its own."""
+def portions(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of whole texts of about so many bytes, for each of which some 40 are held while it is cut; a longer text is a slice of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
@@ -129,16 +129,17 @@ _memories: weakref.WeakSet[Memory] = weakref.WeakSet()
 
 
 def release() -> None:
-    """Tasks that need no remembered stretches let go of those that earlier tasks left in their worker."""
+    """Tasks that need no remembered stretches let go of those that earlier tasks left in their worker, and of Arrow's empty pages."""
     for m in _memories:
         m.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class Memory:
     """Remembers what short stretches are encoded to, in two generations of bounded size: when the younger one is full it
     becomes the older one, and what is asked for again comes back from there."""
 
-    def __init__(self, encode: Callable[[list[bytes]], dict[bytes, bytes]], most: int = 150_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[bytes]], dict[bytes, bytes]], most: int = 60_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
