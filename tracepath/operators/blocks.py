@@ -9,26 +9,69 @@ A routine written inside another is not part of it: blocks belong to the nearest
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tracepath.operators.forest import nearest_marked, running, tour
 from tracepath.plans.session import cut
 
-FILE = ("file_id",)
+HOMES = ("Define", "File")
 SPOT = "rule string, file_id string, line long, name string"
 
 
 def block_tree(blocks: DataFrame) -> DataFrame:
-    """Adds open, close, depth (blocks around it, itself included), home, and repeats: how often what stands directly inside is run
-    again within its home, in loops."""
-    toured = running(tour(blocks, FILE, "opened"), FILE, depth=F.lit(True), around=F.col("kind") == "Repeat")
-    toured = cut(toured)
-    homes = nearest_marked(toured.select("file_id", "node", "parent", F.col("kind").isin("Define", "File").alias("marked")), FILE).select("file_id", "node", F.col("found").alias("home"))
-    t = toured.join(homes, ["file_id", "node"])
-    above = toured.select("file_id", F.col("node").alias("home"), F.col("around").alias("outside"))
-    # a home is no loop itself, so all loops around it are outside
-    return cut(t.join(above, ["file_id", "home"], "left").withColumn("repeats", F.col("around") - F.coalesce("outside", F.lit(0))).drop("around", "outside"))
+    """Adds open, close (a block's place in its file by ``opened``, from 0, and the last place inside it), depth (blocks around it, itself
+    included), home, and repeats: how often what stands directly inside is run again within its home, in loops. ``opened`` goes.
+
+    A parent opens before what is inside it, and that stands together; so a file is streamed once in that order through a stack of what is
+    open, and a block is told when it closes: a task needs memory for the nesting depth."""
+    kept = [f for f in blocks.schema.fields if f.name != "opened"]
+    names = [f.name for f in kept]
+    file_at, node_at, parent_at, kind_at = map(names.index, ("file_id", "node", "parent", "kind"))
+    longs = ("open", "close", "depth", "repeats")
+    schema = StructType([*kept, *[StructField(x, LongType()) for x in longs], StructField("home", blocks.schema["node"].dataType)])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, place, kinds = None, 0, None
+        stack: list[tuple] = []  # row, open, depth, repeats within home, home of what is open
+        closed: list[tuple] = []
+
+        def close() -> None:
+            row, at, depth, repeats, home = stack.pop()
+            closed.append((*row, at, place - 1, depth, repeats, home))
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*closed) if closed else [()] * len(kinds)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
+            closed.clear()
+            return batch
+
+        for batch in batches:
+            if kinds is None:
+                kinds = [*batch.schema.types, *[pa.int64()] * len(longs), batch.schema.types[node_at]]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[file_at] != file:
+                    while stack:
+                        close()
+                    file, place = row[file_at], 0
+                while stack and (row[parent_at] is None or stack[-1][0][node_at] != row[parent_at]):
+                    close()
+                home, repeats = (stack[-1][4], stack[-1][3]) if stack else (None, 0)
+                if row[kind_at] in HOMES:
+                    home, repeats = row[node_at], 0
+                stack.append((row, place, len(stack) + 1, repeats + (row[kind_at] == "Repeat"), home))
+                place += 1
+            yield out()
+        while stack:
+            close()
+        if closed:
+            yield out()
+
+    rows = blocks.where("file_id IS NOT NULL").repartition("file_id").sortWithinPartitions("file_id", "opened").select(*names)
+    return cut(rows.mapInArrow(walk, schema))
 
 
 def subtrees(tree: DataFrame, roots: DataFrame) -> DataFrame:

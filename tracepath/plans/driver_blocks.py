@@ -30,10 +30,13 @@ def source(spark: SparkSession, sf_dir: str) -> Source:
     file = F.concat_ws("-", "trace_id", "tid").alias("file_id")
     k = F.substring("subject", 3, 9).cast("long").alias("k")
     kind = F.when(F.col("name") == "view", "Repeat").when(F.col("name") == "purchase", "Define").otherwise("Plain").alias("kind")
-    placed = tracks.track_order(a).select(file, F.col("activity_id").alias("node"), (F.col("place") + 1).alias("opened"), kind, "name", k)
+    # the order of a track; null, which comes first, for the file
+    opened = F.struct("start", -F.col("end"), "activity_id").alias("opened")
+    placed = a.select(file, F.col("activity_id").alias("node"), opened, kind, "name", k)
     up = tracks.sweep_tracks(a).select(F.col("activity_id").alias("node"), F.coalesce("open_parent", F.lit(-1)).alias("parent"))
     rows = placed.join(up, "node").select("file_id", "node", "parent", "opened", "kind", "name", "k")
-    roots = rows.select("file_id").distinct().select("file_id", F.lit(-1).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("opened"), F.lit("File").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("k"))
+    root = {"node": F.lit(-1), "kind": F.lit("File")}
+    roots = a.select(file).distinct().select("file_id", *[root.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields[1:]])
     tree = blocks.block_tree(rows.unionByName(roots)).withColumns({"line": F.col("open"), "end_line": F.col("close")})
     said = F.concat(F.lit("k"), F.col("k") % NAMES).alias("name")
     calls = tree.where("name = 'click'").select("file_id", F.col("open").alias("call_id"), F.col("parent").alias("within"), F.concat(F.lit("f"), F.col("k") % 5).alias("name"), said.alias("args"), "line", (F.col("k") % 3 == 0).alias("fresh"), (F.col("k") % 4 == 0).alias("allocates"))
