@@ -454,3 +454,17 @@ def test_components_of_random_graphs(spark, monkeypatch):
         assert {x["node"]: x["component"] for x in got} == {x: label[x] for x, y in pairs + [p[::-1] for p in pairs] if x != y}
         u, v = cc.stars(*np.array(pairs).T)
         assert dict(zip(v.tolist(), u.tolist())) == {i: label[i] for i in range(n) if label[i] != i}
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    from tracepath.llm import components as cc
+
+    r = random.Random(14)
+    ids = r.sample(range(10**6), 3000)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long").repartition(30)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = cc.connected_components(edges).collect()
+    print("jobs", jobs() - before)
+    assert len(got) == 3000 and {x["component"] for x in got} == {min(ids)}
+    assert jobs() - before <= 12  # the driver keeps a record of each task of each

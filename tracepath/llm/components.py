@@ -1,7 +1,9 @@
 """Connected components of an edge table, without bringing edges or labels to the driver.
 
 Tasks first bring the edges that they hold, a bounded number at a time, to stars about the least nodes, before and after
-edges are dealt by their larger node; what crosses tasks is left to rounds over the whole table. Each round every node points to the least of itself and its neighbours, pointers are doubled until they end at nodes
+edges are dealt by their larger node; what crosses tasks is left to rounds over the whole table. Edges that are no more than a task
+may hold anyway, from the start or after some rounds, are ended by one task: each round costs the driver some twenty stages of tasks, whose
+records it keeps. Each round every node points to the least of itself and its neighbours, pointers are doubled until they end at nodes
 that point to themselves, and the edges are contracted to those ends. Doubling takes the logarithm of the longest run of
 pointers, and only ends that are the least of their own neighbourhood outlive a round, so few rounds are needed. The
 minima are pre-aggregated before the shuffle; in the joins back, nodes that very many rows point to are broadcast, and no
@@ -60,6 +62,19 @@ def _as_stars(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _ended(edges: DataFrame) -> DataFrame:
+    """u, p: all nodes of these edges, of which there are at most ``MOST_HELD``, and the least node of their component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(i).to_numpy() for i in range(2)] for batch in batches]
+        if held:
+            least, node = stars(*map(np.concatenate, zip(*held)))
+            own = np.unique(least)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(own, node)), pa.array(np.append(own, least))], ["u", "p"])
+
+    return edges.coalesce(1).mapInArrow(run, "u long, p long")
+
+
 def _follow(parent: DataFrame) -> DataFrame:
     """u, p with p replaced by the end of its run of pointers; ends point to themselves."""
     while True:
@@ -75,11 +90,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = cut(_as_stars(_as_stars(e).repartition("v")))
     labels = None
-    while not e.isEmpty():
+    while n := e.count():
         let_go(e.sparkSession)
-        both = e.union(e.select("v", "u"))
-        parent = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        parent = _follow(cut(parent))
+        few = n <= MOST_HELD
+        if few:
+            parent = cut(_ended(e))
+        else:
+            both = e.union(e.select("v", "u"))
+            parent = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
+            parent = _follow(cut(parent))
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
@@ -87,6 +106,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             rest = labels.select("component").distinct().join(step, "component", "left_anti")
             step = cut(narrow(step.union(rest.select("component", F.col("component").alias("p")))))
             labels = cut(spread_join(labels, step, "component").select("node", F.col("p").alias("component")))
+        if few:
+            break
         e = spread_join(e, parent, "u").select(F.col("p").alias("pu"), "v")
         e = spread_join(e, parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
         e = cut(e.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
