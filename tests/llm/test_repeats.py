@@ -121,3 +121,25 @@ def test_the_query_equals_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert rows(op13_suffix_dedup(spark, d)) == by_hand(docs, 100)
+
+
+def test_shuffled_runs_are_gone_when_pieces_are_shuffled(spark):
+    import time
+
+    r = random.Random(15)
+    docs = spark.createDataFrame([(i, "".join(map(chr, r.choices(range(33, 127), k=4000)))) for i in range(600)], "doc_id long, text string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> int:
+        return sum(f.length() for f in (files.apply(i) for files in [disk.getAllFiles()] for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = shuffled()
+    out = remove_repeats(docs)
+    until = time.time() + 10
+    while (left := shuffled() - before) > 100_000 and time.time() < until:
+        time.sleep(0.2)
+    assert left <= 100_000
+    assert out.count() == 600
+    assert 2_000_000 < shuffled() - before < 3_600_000  # 2.4 MB of texts that don't compress, once

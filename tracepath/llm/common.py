@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -38,7 +40,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def let_go(spark: SparkSession) -> None:
     """Files of finished shuffles stay on the executors' disks until the driver's JVM finds that nothing refers to them;
-    a driver with little to do may not look for hours, so ask it to."""
+    a driver with little to do may not look for hours, so ask it to. Python's frames refer to the JVM's, stand in cycles, and are taken
+    back in the background once a second."""
+    gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 

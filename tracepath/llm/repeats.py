@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracepath.llm.common import cut, read_table, release
+from tracepath.llm.common import cut, let_go, read_table, release
 from tracepath.llm.suffix_collection import Collection
 
 LENGTH, K = 100, 24
@@ -450,7 +450,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     content = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     sha = F.sha2("content", 256)
-    t = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
+    t = F.coalesce(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"), F.lit(0))  # never null: both joins take the texts by one shuffle
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content")).withColumn("sha", sha)
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NONE)).alias("id"), t.alias("t"), "content", "sha")
     texts = rows.select("doc_id", "id", "t", "content")
@@ -458,6 +458,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = texts.select("id", "t", "content").mapInArrow(_anchors_of(length, k), RUNS)
     found = cut(runs.repartition("route").sortWithinPartitions("route", "anchor").mapInArrow(_repeated(hot_from), FOUND))
     hot = frozenset(r[0] for r in found.where("s < 0").orderBy(F.desc("n")).limit(MOST_HOT).select("anchor").collect())  # a bounded list of anchors
+    let_go(docs.sparkSession)  # all runs lie in the files of that shuffle, more than the texts themselves
     wanted = found.where("s >= 0").join(firsts, ["id", "t"], "left_semi").groupBy("id", "t").agg(F.collect_list(F.struct("anchor", "s", "c")).alias("runs"))
     pieces = texts.join(wanted, ["id", "t"]).select("doc_id", "id", "t", "content", "runs").mapInArrow(_pieces_of(length, hot), PIECES)
     spans = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_order_pieces(length), SPANS)
