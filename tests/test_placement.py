@@ -135,3 +135,30 @@ def test_votes_settle_as_in_order(spark):
         rows += [("t", f"m{k}", i, v) for i, v in enumerate(votes)]
     got = p.settle_votes(spark.createDataFrame(rows, "trace_id string, map_name string, site_id long, agreed int"))
     assert {x["map_name"]: (x["shift"], x["votes"], x["against"]) for x in got.collect()} == expected
+
+
+def test_stated_sites_read_each_subject_once(spark):
+    from tracepath.functions import columns as C
+
+    r, rows = random.Random(16), []
+    for i in range(1500):
+        parts = [r.choice(["data.url=", "url=", "a.b.url=", "xurl=", "lineNumber=", "d.lineNumber=", "data.columnNumber=", "functionName=", "k", "a=url="]) + r.choice(['"s.js"', "7", "+08", "", "x=1", "4294967296", "00000000012", '"a\n.b"']) for _ in range(r.randint(0, 16))]
+        rows.append((i, C.SEPARATOR.join(parts)))
+    rows.append((1500, None))
+
+    def by_hand(subject):
+        leaves = {}
+        for part in (subject or "").split(C.SEPARATOR):
+            path, equals, value = part.partition("=")
+            if equals:
+                leaves[path.rpartition(".")[2]] = value
+        bare = [v[1:-1] if len(v) > 1 and v[0] == v[-1] == '"' else v for v in (leaves.get("url", ""), leaves.get("functionName", ""))]
+        numbers = [int(v) if (v := leaves.get(n, "").removeprefix("+")).isdigit() and int(v) < 1 << 32 else None for n in ("lineNumber", "columnNumber")]
+        return None if not bare[0] or None in numbers else (bare[0], *numbers, bare[1])
+
+    acts = spark.createDataFrame([("t", *x) for x in rows], "trace_id string, activity_id long, subject string")
+    sites = p.stated_sites(acts.withColumn("subject", p.F.concat("subject", p.F.lit(""))))
+    expected = {i: x for i, s in rows if (x := by_hand(s)) is not None}
+    assert len(expected) > 20 and {x[1]: tuple(x[2:]) for x in sites.collect()} == expected
+    # a filter or a field may not have the expression once more
+    assert sites._jdf.queryExecution().optimizedPlan().toString().count("lineNumber=") + sites._jdf.queryExecution().optimizedPlan().toString().count("= lineNumber") == 1

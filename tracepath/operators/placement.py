@@ -30,9 +30,10 @@ def lookup(sites: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _shifted(sites: DataFrame) -> DataFrame:
+    """sites: distinct map_name, line_number, column_number, symbol."""
     tried = F.explode(F.array(*map(F.lit, SHIFTS))).alias("shift")
     s = sites.select("*", tried).withColumns({"gen_line": F.col("line_number") - F.col("shift"), "gen_column": F.col("column_number") - F.col("shift")})
-    return s.select("trace_id", "site_id", "map_name", "symbol", "shift", "gen_line", "gen_column", F.concat_ws(":", "trace_id", "site_id", "shift").alias("site"))
+    return s.withColumn("site", F.concat_ws(":", "line_number", "column_number", "shift", F.length("map_name"), "map_name", "symbol"))
 
 
 def settle_votes(votes: DataFrame) -> DataFrame:
@@ -57,9 +58,10 @@ def calibrate(sites: DataFrame, segments: DataFrame, lines: DataFrame) -> DataFr
     against, for maps that a recording's sites name and that are there."""
     named_map = sites.withColumn("map_name", C.map_name(F.col("script")))
     s = named_map.where("symbol <> ''")
-    named = lookup(_shifted(s), segments).join(lines, ["map_name", "source_id", "line"]).where(C.names_symbol(F.col("text"), F.col("symbol")))
-    vote = named.groupBy("trace_id", "site_id").agg(F.max("shift").alias("agreed"))  # the first of SHIFTS is the greater
-    told = settle_votes(s.select("trace_id", "site_id", "map_name").join(vote, ["trace_id", "site_id"], "left"))
+    place = ["map_name", "line_number", "column_number", "symbol"]  # sites of one place vote alike
+    named = lookup(_shifted(s.select(*place).distinct()), segments).join(lines, ["map_name", "source_id", "line"]).where(C.names_symbol(F.col("text"), F.col("symbol")))
+    vote = named.groupBy(*place).agg(F.max("shift").alias("agreed"))  # the first of SHIFTS is the greater
+    told = settle_votes(s.join(vote, place, "left").select("trace_id", "site_id", "map_name", "agreed"))
     there = named_map.select("trace_id", "map_name").distinct().join(segments.select("map_name").distinct(), "map_name", "left_semi")
     return there.join(told, ["trace_id", "map_name"], "left").na.fill(0, ["votes", "against"])
 
@@ -85,8 +87,10 @@ def fixable() -> Column:
 
 def stated_sites(activities: DataFrame) -> DataFrame:
     """The places in code that activities state, as sites; site_id is the activity's."""
-    a = activities.select("trace_id", F.col("activity_id").alias("site_id"), C.site_of(F.col("subject")).alias("x")).where("x IS NOT NULL")
-    return a.select("trace_id", "site_id", "x.script", F.col("x.line").alias("line_number"), F.col("x.column").alias("column_number"), "x.symbol")
+    # generated, since an optimizer that pushes the filter down and prunes fields computes the parts once for each time they are named
+    a = activities.select("trace_id", F.col("activity_id").alias("site_id"), F.inline_outer(F.array(C.site_parts(F.col("subject")))))
+    a = a.select("trace_id", "site_id", "script", C.number(F.col("line")).alias("line_number"), C.number(F.col("column")).alias("column_number"), "symbol")
+    return a.where("script <> '' AND line_number IS NOT NULL AND column_number IS NOT NULL")
 
 
 def place_work(enclosed: DataFrame, resolved: DataFrame) -> DataFrame:
