@@ -86,6 +86,34 @@ def test_jaccard_links_at_the_limit():
     assert nc.jaccard_links([a[:5], a[1:6]]) == [] and nc.jaccard_links([]) == []
 
 
+def test_numbers_say_what_is_linked_and_leave_nothing_out():
+    a = np.arange(9, dtype=np.uint64)
+    assert nc.jaccard_links([a[:5], a[:4], a[5:8]], [1, 2, 2]) == [(0, 1)]
+    assert nc.jaccard_links([a[:5], a[:4], a[5:8]], [1, 2, 2], [False, True, False]) == [(1, 0)]
+
+
+def test_what_is_similar_to_different_pivots_is_compared(spark):
+    """Windows along a text, linked to the next two: two pivots, first and second by number, take all of them in, and the only links from one's to the
+    other's are between members."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[5 * i : 5 * i + 104]) for i in (2, 7, 0, 1, 3, 4, 5, 6, 8, 9)]
+    far = " ".join(f"v{i}" for i in range(104))
+    rows = [(n, f"{2 * n + k}", f"{t} end{k}") for n, t in enumerate([*texts, far]) for k in range(2)]
+    nodes = [(n + (len(texts) + 1) * k, sha, t) for (n, sha, t), k in zip(rows, [0, 1] * len(rows))]
+    docs = spark.createDataFrame([(i, t) for i, _, t in nodes], "doc_id long, text string")
+    classes = spark.createDataFrame([(i, t, len(t)) for i, _, t in nodes], "node long, text string, size long").withColumn("sha256", nc.content_key())
+    candidates = classes.select("node", F.lit(0).cast("long").alias("component"))
+    for block in (1 << 20, 3000, 1000):
+        up = {i: i for i, _, _ in nodes}
+        for a, b in nc._verified(docs, classes, candidates, block).collect():
+            x, y = up[a], up[b]
+            up = {i: min(x, y) if u in (x, y) else u for i, u in up.items()}
+        groups = {}
+        for i, u in up.items():
+            groups.setdefault(u, set()).add(i % (len(texts) + 1))
+        assert sorted(map(sorted, groups.values())) == [list(range(len(texts))), [len(texts)]], block
+
+
 def test_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"some{i % 97} {w}{i % 89} here{i}" for i in range(60)) for w in ("word", "thing", "place"))
     near_c = c.replace("here59", "there")
