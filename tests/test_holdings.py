@@ -127,3 +127,20 @@ def test_no_repository_is_one_group(spark):
     assert {tuple(x) for x in h.removal_plan(c, d, "n0", 2).collect()} == plans
     for frame in (held, h.reachable(c, d, "n0"), h.removal_plan(c, d, "n0", 2)):  # groups are of pruned plans at most
         assert "FlatMapCoGroupsInPandas" not in frame._jdf.queryExecution().toString()
+
+
+def test_declarations_are_read_twice(spark):
+    """Once for what declares something, once to part them: large tables are not dealt again for each step."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    rows = [("r", "app", f"a{i}") for i in range(20)] + [("r", f"a{i}", f"p{i // 2}") for i in range(20)] + [("r", f"a{i}", "q") for i in range(9)]
+    c = spark.createDataFrame([("r", x, 1, x == "app") for x in sorted({x for _, s, t in rows for x in (s, t)})], "repo_id string, component string, weight long, owned boolean")
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "repo_id string, source string, target string")
+    held = {x["component"]: x["retained"] for x in h.hold(c, d, "app").collect()}
+    assert held["app"] == 32 and held["q"] == 1 and {held[f"a{i}"] for i in range(20)} == {1} and read.value <= 2 * len(rows)
+    h.removal_plan(c, d, "app", 2).collect()
+    assert read.value <= 4 * len(rows)
