@@ -94,3 +94,18 @@ def test_what_many_entries_reach(spark):
             for v in seen:
                 expected.setdefault((g, v), set()).add(i)
     assert got == expected
+
+
+def test_census_reads_declarations_thrice(spark):
+    """To find what declares something, to part them, and to count them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    rows = [("r", "app", f"a{i}") for i in range(20)] + [("r", f"a{i}", f"p{i // 2}") for i in range(19)] + [("r", "lost", "more")]
+    c = spark.createDataFrame([("r", x, 1, x == "app") for x in sorted({x for _, s, t in rows for x in (s, t)})], "repo_id string, component string, weight long, owned boolean")
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "repo_id string, source string, target string")
+    (got,) = packages.census(c, d, spark.createDataFrame([("r", "a1", "x")], "repo_id string, source string, need string")).collect()
+    assert tuple(got) == ("r", 40, 1, 40 / 41, 32, 2, 2) and read.value <= 3 * len(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracepath.operators.reach import reached_from
+from tracepath.operators.reach import reached
 
 INSTALLED = r"^(?:.*/)?node_modules/(?:@[^/]+/)?[^/]+$"
 NAMES = "map<string,string>"
@@ -116,8 +116,8 @@ def unresolved(manifests: DataFrame, comps: DataFrame, repo_id: str = "") -> Dat
 def census(comps: DataFrame, declares: DataFrame, missing: DataFrame) -> DataFrame:
     """repo_id, declared, missing, confidence (the share of declarations that resolve; 1 if there are none), installed (weight of what is not
     owned), undeclared and undeclared_weight (what is installed and no owned component comes to need)."""
-    reached = reached_from(declares, comps.where("owned")).select("repo_id", "component").distinct()
-    extra = comps.where("NOT owned").join(reached, ["repo_id", "component"], "left_anti").groupBy("repo_id").agg(F.count(F.lit(1)).alias("undeclared"), F.sum("weight").alias("undeclared_weight"))
+    needed = reached(declares, comps.where("owned"))
+    extra = comps.where("NOT owned").join(needed, ["repo_id", "component"], "left_anti").groupBy("repo_id").agg(F.count(F.lit(1)).alias("undeclared"), F.sum("weight").alias("undeclared_weight"))
     out = comps.groupBy("repo_id").agg(F.coalesce(F.sum(F.when(~F.col("owned"), F.col("weight"))), F.lit(0)).alias("installed"))
     for part in (declares.groupBy("repo_id").agg(F.count(F.lit(1)).alias("declared")), missing.groupBy("repo_id").agg(F.count(F.lit(1)).alias("missing")), extra):
         out = out.join(part, "repo_id", "left")
