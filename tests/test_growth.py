@@ -108,3 +108,12 @@ def test_layers_of_callers_are_put_aside(spark):
     waits = g.call_edges(symbols, calls).selectExpr("symbol_id", "callee_id AS v", "depth AS w", "0L AS own")
     left, layers = g._peeled(waits)
     assert len(layers) == 4 and sum(x.count() for x in layers) == 29 and left.isEmpty()
+
+
+def test_chains_are_not_dealt_once_they_are_written_out(spark):
+    solved = spark.createDataFrame([(i, 1, i // 2 if i > 1 else None, i % 5 if i > 1 else None) for i in range(1, 60)], "symbol_id long, degree long, through long, line long")
+    chains = g.chains(solved.union(solved.selectExpr("symbol_id + 100", "CAST(NULL AS LONG)", "CAST(NULL AS LONG)", "CAST(NULL AS LONG)")))
+    up = {i: [i >> k for k in range(i.bit_length())] for i in range(1, 60)}
+    assert {tuple(x) for x in chains.collect()} == {(i, k, v, v % 5 if v > 1 else None) for i, run in up.items() for k, v in enumerate(run)}
+    plan = chains._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracepath.plans.session import cut, forget, narrow
+from tracepath.plans.session import cut, forget, keep, narrow
 
 NODE = ("trace_id",)
 
@@ -53,6 +53,26 @@ def runs(starts: DataFrame, pointers: DataFrame, key: tuple[str, ...] = NODE) ->
         found, jump, length = both, further, 2 * length
 
 
+def every_run(pointers: DataFrame, *more: str) -> DataFrame:
+    """first, k, node, and the columns in ``more`` of that node: the run from every node on along pointers (node, next, more) that have
+    no cycle. Only runs from nodes that another points to are put together by doubling, a row each, which is less than what they are
+    written out as; what nothing points to takes that of its next, and nothing is dealt once it is written out. A next that has no row is not written."""
+    all_ = keep(pointers.select("node", "next", *more))
+    step = F.struct("node", *more)
+    called = all_.where("next IS NOT NULL").select(F.col("next").alias("node")).distinct()
+    state = keep(all_.join(called, "node", "left_semi").select("node", F.col("next").alias("at"), F.array(step).alias("run")))
+    while not state.where("at IS NOT NULL").isEmpty():
+        beyond = state.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("run").alias("on"))
+        longer = F.when(F.col("on").isNull(), F.col("run")).otherwise(F.concat("run", "on"))
+        both = keep(state.join(beyond, "at", "left").select("node", F.col("further").alias("at"), longer.alias("run")))
+        forget(state)
+        state = both
+    runs_ = all_.join(state.select(F.col("node").alias("next"), "run"), "next", "left")
+    whole = F.when(F.col("run").isNull(), F.array(step)).otherwise(F.concat(F.array(step), F.col("run")))
+    out = runs_.select(F.col("node").alias("first"), F.posexplode(whole).alias("k", "x"))
+    return out.select("first", F.col("k").cast("long").alias("k"), "x.node", *[f"x.{c}" for c in more])
+
+
 def tour(nodes: DataFrame, key: tuple[str, ...], opened: str) -> DataFrame:
     """Adds ``open`` and ``close``: the node's place, from 0, among its key's nodes by ``opened``, and the last place in its subtree. A
     parent comes before its children there, and a subtree's nodes are together, as blocks are in the order of their opening."""

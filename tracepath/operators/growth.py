@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepath.operators.forest import nearest_marked, runs
-from tracepath.plans.session import cut, forget, narrow
+from tracepath.operators.forest import every_run, nearest_marked
+from tracepath.plans.session import cut, forget, keep, narrow
 
 
 def call_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    alone = symbols.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).where("n = 1")
-    return calls.join(alone.select(F.col("name").alias("callee"), F.col("symbol_id").alias("callee_id")), "callee").select("symbol_id", "callee_id", "depth", "line")
+    alone = symbols.groupBy(F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("callee_id")).where("n = 1")
+    return calls.join(alone.select("callee", "callee_id"), "callee").select("symbol_id", "callee_id", "depth", "line")
 
 
 def _composed(singles: DataFrame) -> DataFrame:
@@ -44,13 +44,13 @@ def _folded(routines: DataFrame, told: DataFrame) -> DataFrame:
 
 
 def _peeled(waits: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """waits (symbol_id, v, w, own) of routines that are called themselves, and those of the others in layers: nothing left calls a
+    """waits (symbol_id, v, w, own and more) of routines that are called themselves, and those of the others in layers: nothing left calls a
     layer's routines, so they can be settled after all else. Layers are taken as long as they hold an eighth of what is left, so that
     they are few and all of them together read a small multiple of the calls."""
     layers, left, n = [], waits, waits.count()
     while n:
         called = left.select(F.col("v").alias("symbol_id"), F.lit(True).alias("inner")).distinct()
-        told = cut(left.join(called, "symbol_id", "left").select("symbol_id", "v", "w", "own", F.coalesce("inner", F.lit(False)).alias("inner")))
+        told = keep(left.join(called, "symbol_id", "left").select(*waits.columns, F.coalesce("inner", F.lit(False)).alias("inner")))
         m = told.where("inner").count()
         if 8 * (n - m) < n:
             forget(told)
@@ -65,21 +65,27 @@ def degrees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     its own loops), line.
 
     Routines that nobody left calls are put aside in layers, and settled from the innermost layer out once the rest is known."""
-    known = cut(call_edges(symbols, calls))
     own = cut(symbols.groupBy("symbol_id").agg(F.max("own").cast("long").alias("own")))
-    waits = cut(known.groupBy("symbol_id", F.col("callee_id").alias("v")).agg(F.max("depth").cast("long").alias("w")).join(own, "symbol_id").select("symbol_id", "v", "w", "own"))
+    known = call_edges(symbols, calls).select("symbol_id", F.col("callee_id").alias("v"), F.col("depth").cast("long").alias("w"), "line").repartition("symbol_id")
+    each = known.groupBy("symbol_id", "v").agg(F.max(F.struct("w", (-F.col("line")).alias("up"))).alias("x"))  # of one routine's calls to another the greatest, of equals the first
+    waits = keep(each.join(own, "symbol_id").select("symbol_id", "v", "x.w", "own", "x.up"))
     left, layers = _peeled(waits)
+    if layers:
+        forget(waits)  # the first layer's frame holds them all
     aside = reduce(DataFrame.unionByName, [x.select("symbol_id") for x in layers], symbols.limit(0).select("symbol_id"))
     core = cut(own.withColumnRenamed("own", "a").join(aside, "symbol_id", "left_anti"))
-    done = _settled(core, cut(narrow(left.select("symbol_id", "v", "w"))))
+    settled = _settled(core, cut(narrow(left.select("symbol_id", "v", "w"))))
+    call = F.max(F.struct((F.col("w") + F.col("d")).alias("degree"), "up", (-F.col("v")).alias("least"))).alias("b")
+    best = left.join(settled.select(F.col("symbol_id").alias("v"), F.col("a").alias("d")), "v").groupBy("symbol_id").agg(call)
+    done = keep(settled.join(best, "symbol_id", "left").select("symbol_id", "a", "b"))
     for layer in reversed(layers):  # routines that wait for something unsettled stay so themselves
         at = layer.join(done.select(F.col("symbol_id").alias("v"), F.col("a").alias("d")), "v", "left")
-        told = at.groupBy("symbol_id").agg(F.greatest(F.max("own"), F.max(F.col("w") + F.col("d"))).alias("a"), (F.count("d") < F.count(F.lit(1))).alias("lost")).where("NOT lost").select("symbol_id", "a")
-        both = cut(narrow(done.unionByName(told)))
+        told = at.groupBy("symbol_id").agg(F.max("own").alias("own"), F.max(F.when(F.col("d").isNotNull(), F.struct((F.col("w") + F.col("d")).alias("degree"), "up", (-F.col("v")).alias("least")))).alias("b"), (F.count("d") < F.count(F.lit(1))).alias("lost"))
+        told = told.where("NOT lost").select("symbol_id", F.greatest("own", "b.degree").alias("a"), "b")
+        both = keep(narrow(done.unionByName(told)))
         forget(done)
         done = both
-    best = known.join(done.select(F.col("symbol_id").alias("callee_id"), F.col("a").alias("reached")), "callee_id").groupBy("symbol_id").agg(F.max(F.struct((F.col("depth") + F.col("reached")).alias("degree"), (-F.col("line")).alias("up"), (-F.col("callee_id")).alias("least"))).alias("b"))
-    found = own.join(done, "symbol_id", "left").join(best, "symbol_id", "left")
+    found = own.join(done, "symbol_id", "left")
     by_call = F.coalesce((F.col("b.degree") > F.col("own")) & F.col("a").isNotNull(), F.lit(False))
     return found.select("symbol_id", F.col("a").alias("degree"), F.when(by_call, -F.col("b.least")).cast("long").alias("through"), F.when(by_call, -F.col("b.up")).cast("long").alias("line"))
 
@@ -130,9 +136,8 @@ def innermost(solved: DataFrame) -> DataFrame:
 
 def chains(solved: DataFrame) -> DataFrame:
     """symbol_id, step, at, line of bounded routines: from a routine by the calls that attain its degree to where it is written."""
-    bounded = cut(solved.where("degree IS NOT NULL").select(F.lit(0).alias("all"), F.col("symbol_id").alias("node"), F.col("through").alias("next"), "line"))
-    steps = runs(bounded.select("all", F.col("node").alias("first")), bounded, ("all",))
-    return steps.join(bounded.select("node", "line"), "node").select(F.col("first").alias("symbol_id"), F.col("k").alias("step"), F.col("node").alias("at"), "line")
+    bounded = solved.where("degree IS NOT NULL").select(F.col("symbol_id").alias("node"), F.col("through").alias("next"), "line")
+    return every_run(bounded, "line").select(F.col("first").alias("symbol_id"), F.col("k").alias("step"), F.col("node").alias("at"), "line")
 
 
 def growth_spots(symbols: DataFrame, solved: DataFrame) -> DataFrame:

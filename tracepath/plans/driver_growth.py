@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracepath.operators import growth
-from tracepath.plans.session import cut
+from tracepath.plans.session import cut, keep
 
 
 def routines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +54,7 @@ def growth_innermost(spark, d):
 
 
 def growth_chains(spark, d):
-    return growth.chains(cut(_solved(spark, d)))
+    return growth.chains(keep(_solved(spark, d)))
 
 
 def never_called(spark, d):
