@@ -1,22 +1,26 @@
 """How long each interaction took, and the chain of work between it and the screen's answer.
 
 An activity answers to the first presentation after its end, its deadline; work is chained onward only among activities of
-one deadline, so deadlines are independent problems and (recording, deadline) is the grouping key.
+one deadline, so deadlines are independent problems. There may be as many as activities, most of them small, so a task takes them
+in order, as many at a time as there are in a batch of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracepath.functions import columns as C
 from tracepath.operators import marks
 from tracepath.operators.forest import runs
-from tracepath.plans.session import cut
+from tracepath.plans.session import keep
 
-TAILS = "trace_id string, activity_id long, tail long, goes_to long"
+TAILS = "trace_id string, activity_id long, deadline long, start long, end long, tail long, goes_to long"
 
 
 def _apart(df: DataFrame) -> DataFrame:
@@ -27,33 +31,36 @@ def _apart(df: DataFrame) -> DataFrame:
 def tails(activities: DataFrame, links: DataFrame, presentations: DataFrame) -> DataFrame:
     """trace_id, activity_id, deadline, tail (the longest run of dependent work onward within its deadline), goes_to (the
     next of that run)."""
-    moments = activities.where(C.decides()).select("trace_id", F.col("activity_id").alias("key"), F.col("end").alias("at"))
-    due = marks.first_after(moments, presentations).where("deadline IS NOT NULL").select("trace_id", F.col("key").alias("activity_id"), "deadline")
-    due = cut(due.join(activities.select("trace_id", "activity_id", "start", "end"), ["trace_id", "activity_id"]))
-    a = due.select("trace_id", F.col("activity_id").alias("from_id"), "deadline")
-    b = due.select("trace_id", F.col("activity_id").alias("to_id"), F.col("deadline").alias("to_deadline"))
-    inner = links.join(a, ["trace_id", "from_id"]).join(b, ["trace_id", "to_id"]).where("deadline = to_deadline")
-
-    def one(acts: pd.DataFrame, ls: pd.DataFrame) -> pd.DataFrame:
-        acts = acts.sort_values(["start", "activity_id"], ascending=False)
-        start, end = dict(zip(acts["activity_id"], acts["start"])), dict(zip(acts["activity_id"], acts["end"]))
-        out: dict[int, list[int]] = {}
-        for f, t in sorted(zip(ls["from_id"], ls["to_id"])):
-            out.setdefault(f, []).append(t)
-        tail: dict[int, int] = {}
-        goes: dict[int, int | None] = {}
-        for i in acts["activity_id"]:
-            best, onward = end[i] - start[i], None
-            for n in out.get(i, ()):
-                through = end[i] - start[i] + max(start[n] - end[i], 0) + tail[n]
-                if through > best:
+    moments = activities.where(C.decides()).select("trace_id", F.col("activity_id").alias("key"), F.col("end").alias("at"), "start")
+    due = keep(marks.first_after(moments, presentations).where("deadline IS NOT NULL").select("trace_id", F.col("key").alias("activity_id"), "deadline", "start", F.col("at").alias("end")))
+    to = links.select("trace_id", "from_id", "to_id").join(due.select("trace_id", F.col("activity_id").alias("to_id"), "deadline"), ["trace_id", "to_id"])
+    to = to.groupBy("trace_id", F.col("from_id").alias("activity_id")).agg(F.collect_list(F.struct("to_id", "deadline")).alias("links"))
+    same = F.filter("links", lambda x: x["deadline"] == F.col("deadline"))
+    rows = due.join(to, ["trace_id", "activity_id"], "left").select("trace_id", "deadline", "start", "end", "activity_id", F.array_sort(F.transform(same, lambda x: x["to_id"])).alias("to"))
+    ordered = rows.repartition("trace_id", "deadline").sortWithinPartitions("trace_id", "deadline", F.desc("start"), F.desc("activity_id"))
+    return ordered.mapInArrow(longest_onward, TAILS)
+
+
+def longest_onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tail and goes_to of rows (trace_id, deadline, start, end, activity_id, to) of whole deadlines, one after the other, each from its last start
+    back. Of a deadline only what has been met is held, until the next begins."""
+    at, met = None, {}
+    for batch in batches:
+        tails, goes = [], []
+        columns = [batch.column(c).to_pylist() for c in ("trace_id", "deadline", "start", "end", "activity_id", "to")]
+        for trace, deadline, start, end, i, to in zip(*columns):
+            if (trace, deadline) != at:
+                at, met = (trace, deadline), {}
+            best, onward = end - start, None
+            for n in to or ():
+                begins, tail = met[n]
+                if (through := end - start + max(begins - end, 0) + tail) > best:
                     best, onward = through, n
-            tail[i], goes[i] = best, onward
-        ids = acts["activity_id"].tolist()
-        return pd.DataFrame({"trace_id": acts["trace_id"].tolist(), "activity_id": ids, "tail": [tail[i] for i in ids], "goes_to": pd.array([goes[i] for i in ids], "Int64")})
-
-    solved = due.groupBy("trace_id", "deadline").cogroup(_apart(inner.select("trace_id", "deadline", "from_id", "to_id")).groupBy("trace_id", "deadline")).applyInPandas(one, TAILS)
-    return solved.join(due, ["trace_id", "activity_id"])
+            met[i] = start, best
+            tails.append(best)
+            goes.append(onward)
+        kept = [batch.column(c) for c in ("trace_id", "activity_id", "deadline", "start", "end")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(tails, pa.int64()), pa.array(goes, pa.int64())], ["trace_id", "activity_id", "deadline", "start", "end", "tail", "goes_to"])
 
 
 SEEDS = "trace_id string, arrival_id long, seed long, tail long, start long"
@@ -106,9 +113,9 @@ def decode(starts: DataFrame, t: DataFrame) -> DataFrame:
 def responses(activities: DataFrame, links: DataFrame, presentations: DataFrame, arrivals: DataFrame, envelopes: DataFrame) -> DataFrame:
     """trace_id, arrival_id, activity_id, began, presented, chain, working, waiting, elapsed, exact, kind; the slowest of a
     recording first by ``place``."""
-    t = cut(tails(activities, links, presentations))
+    t = keep(tails(activities, links, presentations))
     every = activities.select("trace_id", F.col("activity_id").alias("key"), F.col("end").alias("at"))
-    due = marks.first_after(every.join(arrivals.select("trace_id", F.col("activity_id").alias("key")), ["trace_id", "key"], "left_semi"), presentations)
+    due = marks.first_after(every.join(arrivals.where("phases IS NULL").select("trace_id", F.col("activity_id").alias("key")), ["trace_id", "key"], "left_semi"), presentations)
     a = arrivals.where("activity_id IS NOT NULL").join(due.select("trace_id", F.col("key").alias("activity_id"), "deadline").distinct(), ["trace_id", "activity_id"], "left")
     a = a.withColumns({"began": F.col("at"), "presented": F.when(F.col("phases").isNotNull(), F.col("at") + F.col("latency")).otherwise(F.col("deadline"))}).where("presented IS NOT NULL")
     inside = t.join(envelopes, ["trace_id", "activity_id"], "left_anti").select("trace_id", F.col("activity_id").alias("seed"), "start", "end", "tail")
@@ -121,7 +128,7 @@ def responses(activities: DataFrame, links: DataFrame, presentations: DataFrame,
     seeds = _apart(stated).groupBy(*at).cogroup(_apart(inside).groupBy(*at)).applyInPandas(best_inside, SEEDS)
     seeds = seeds.groupBy("trace_id", "arrival_id").agg(F.max_by("seed", F.struct("tail", -F.col("start"), -F.col("seed"))).alias("seed"))
     a = a.join(seeds, ["trace_id", "arrival_id"], "left").withColumn("first", F.coalesce("seed", "activity_id"))
-    a = decode(a, t)
+    a = decode(keep(a), t)
     steps = a.select("trace_id", "arrival_id", "began", F.posexplode("chain").alias("k", "step")).join(activities.select("trace_id", F.col("activity_id").alias("step"), "start", "end"), ["trace_id", "step"])
     w = Window.partitionBy("trace_id", "arrival_id").orderBy("k")
     steps = steps.withColumn("reached", F.greatest("began", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("began"))))

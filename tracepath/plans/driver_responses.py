@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracepath.operators import flows, responses, tracks
 from tracepath.plans.driver_tables import _A, _EDGES, _with, activities, edges
-from tracepath.plans.session import cut
+from tracepath.plans.session import cut, keep
 
 #: Latency of a stated click: so many microseconds for each of its key's units, and one more.
 UNIT = 400_000_000
@@ -21,7 +21,7 @@ def interactions(acts: DataFrame) -> DataFrame:
 
 def interaction_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = activities(spark, sf_dir)
-    links = cut(flows.links(edges(a, cut(tracks.sweep_tracks(a))), a))
+    links = keep(flows.links(edges(a, cut(tracks.sweep_tracks(a))), a))
     shown = a.where("name = 'view'").select("trace_id", F.col("start").alias("at")).distinct()
     r = responses.responses(a, links, shown, interactions(a), a.where("name = 'click'").select("trace_id", "activity_id"))
     return r.select("trace_id", "arrival_id", "began", "presented", F.array_join("chain", ",").alias("chain"), "working", "waiting", "elapsed", "exact", F.col("place").cast("long").alias("place"))
